@@ -147,3 +147,21 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     c = np.zeros(len(values) + 1, values.dtype if values.dtype.kind in "fu" else np.int64)
     np.cumsum(values, out=c[1:])
     return c[first[1:]] - c[first[:-1]]
+
+
+#: Classes of bytes for mixed tokens: white space, letters and digits, the rest.
+CLASS = np.where(SPACE, 0, np.where(ALNUM, 1, 2)).astype(np.int8)
+
+
+def token_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like word_bounds for runs of letters and digits and runs of symbols, as tokens of their own."""
+    n = len(data)
+    if not n:
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(len(offs), np.int64)
+    c = CLASS[data]
+    edge = np.ones(n + 1, bool)
+    edge[1:-1] = c[1:] != c[:-1]
+    edge[offs[(offs > 0) & (offs < n)]] = True
+    starts = np.flatnonzero(edge[:-1] & (c != 0))
+    return starts, np.flatnonzero(edge[1:] & (c != 0)) + 1, np.searchsorted(starts, offs)

@@ -1 +1 @@
-
+"""Registered queries over the driver tables, each with its SQL where one exists."""

@@ -1 +1 @@
-
+"""Structured Streaming variants of the stateful operators."""

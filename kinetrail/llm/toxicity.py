@@ -176,7 +176,7 @@ class Toxicity:
 
         rows = sorted(texts.mapInArrow(run, "doc_id long, y int, part long, x array<double>").collect())
         texts.unpersist()
-        x, y, part = np.array([r.x for r in rows]).reshape(len(rows), -1), np.array([r.y for r in rows], float), np.array([r.part for r in rows])
+        x, y, part = np.array([r.x for r in rows]).reshape(len(rows), len(NAMES)), np.array([r.y for r in rows], float), np.array([r.part for r in rows])
         fit, aside = part != 0, part == 0
         trees = Boosted().fit(x[fit], y[fit])
         self.model = (lexicon, trees, Isotonic(trees.margin(x[aside]), y[aside]) if aside.any() else None)

@@ -40,3 +40,34 @@ def jaccard_components(docs, num=75, den=100):
                     x, y = root(a), root(b)
                     parent[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), root(d)) for d in ids}
+
+
+def rule_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words"""
+    text = text or ""
+    words = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    where = {}
+    for i in range(len(words) - 2):
+        where.setdefault(tuple(words[i : i + 3]), []).append(i)
+    covered = {j for at in where.values() if len(at) > 1 for i in at for j in range(i, i + 3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
+
+
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def url_rule(url):
+    """host, path, rule, verdict of the rule"""
+    _, mark, rest = (url or "").partition("://")
+    if not mark:
+        rest = ""
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = host.translate(FOLD)
+    fits = [(h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *max(fits, key=lambda f: len(f[0]), default=(None, None)))

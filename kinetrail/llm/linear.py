@@ -57,6 +57,8 @@ class Features:
         key = np.full(len(at), order, U64)
         for j in range(order):
             key = key * U64(0x9FB21C651E98DF25) + h[at + j]
+        if order == 2:  # a word after itself is one feature, whatever the word
+            key[h[at] == h[at + 1]] = U64(2)
         return key * U64(0x9E3779B97F4A7C15), bounds
 
     def _chars(self, data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +126,7 @@ def _order(i: int) -> int:
     return int(K.mix(np.array([i]).astype(U64))[0])
 
 
-def train(data: list, features: Features, alpha: float = 0.2, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 3) -> Model:
+def train(data: list, features: Features, alpha: float = 0.2, beta: float = 1.0, l1: float = 0.1, l2: float = 0.1, epochs: int = 3) -> Model:
     """Plain FTRL-proximal over the rows, in their order, epochs times. Both classes weigh the same; the shift is taken back from the bias."""
     size = features.families << features.bits
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)

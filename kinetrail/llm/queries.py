@@ -16,11 +16,13 @@ from kinetrail.llm.quality_classifier import QualityClassifier
 from kinetrail.llm.quality_rules import COUNTS, QualityRules
 from kinetrail.llm.secrets import SecretScan
 from kinetrail.llm.sharding import Sharding
+from kinetrail.llm.store import ship
 from kinetrail.llm.toxicity import Toxicity
 from kinetrail.llm.url_filter import Rule, TemplateFilter, parsed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -209,13 +209,13 @@ def token_decode(t):
 _KEYS = "ky AS (SELECT traj, CAST(t AS DOUBLE) / 10 AS key, prim AS sub FROM ev WHERE t % 10 = 3)"
 
 
-@query(f"""WITH {EV}, {_KEYS}, st AS (SELECT traj, t, CAST(t AS DOUBLE) / 10 AS time FROM ev WHERE t % 3 = 0),
+@query(f"""WITH {EV}, {_KEYS}, st AS (SELECT traj, t, CAST(t AS DOUBLE) / 10 AS time FROM ev),
 m AS (SELECT st.traj, st.t, max(key) FILTER (WHERE key <= time) AS k, min(key) AS f FROM st JOIN ky USING (traj) GROUP BY st.traj, st.t)
 SELECT m.traj, m.t, coalesce(m.k, m.f) AS key, ky.sub FROM m JOIN ky ON ky.traj = m.traj AND ky.key = coalesce(m.k, m.f)""")
 def asof_reasoning(t):
     e = V.traj_events(t.events)
     keys = e.where("t % 10 = 3").select("traj", (F.col("t") / 10).alias("key"), F.col("prim").alias("sub"))
-    steps = e.where("t % 3 = 0").select("traj", "t", (F.col("t") / 10).alias("time"))
+    steps = e.select("traj", "t", (F.col("t") / 10).alias("time"))
     return A.latest_key(steps, keys, "traj", "time", "key", "sub").where("key is not null").select("traj", "t", "key", "sub")
 
 
@@ -257,11 +257,11 @@ def action_prompt(t):
     return V.traj_events(t.events).select("traj", "t", T.action_prompt(F.col("prim"), (F.col("t") % 3 + 1).cast("int")).alias("prompt"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN x = '' THEN 'interact with any object' ELSE replace(x, chr(10), ' ') END AS instruction FROM (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[!-/:-@\[-`{-~]+$', '')) AS x FROM documents WHERE lang = 'en')""")
+@query(r"""SELECT doc_id, CASE WHEN x = '' THEN 'interact with any object' ELSE replace(x, chr(10), ' ') END AS instruction FROM (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[!-/:-@\[-`{-~]+$', '')) AS x FROM documents)""")
 def scene_prompt(t):
     from kinetrail.functions import text as T
 
-    return t.documents.where("lang = 'en'").select("doc_id", T.scene_instruction(F.col("text")).alias("instruction"))
+    return t.documents.select("doc_id", T.scene_instruction(F.col("text")).alias("instruction"))
 
 
 @query(f"""WITH {EV}, l AS (SELECT traj, t, list(CASE prim WHEN 'view' THEN '' ELSE trim(regexp_replace(lower('  ' || prim || '  Now'), '\\s+', ' ', 'g')) END) OVER (PARTITION BY traj ORDER BY t ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS x FROM ev),
@@ -274,9 +274,9 @@ def thought_dedupe(t):
     return e.select("traj", "t", ahead.alias("x")).select("traj", "t", F.when(F.size(x) == 0, "none").otherwise(F.array_join(x, ", ")).alias("thought"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(translate(text, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+', ' ', 'g')) AS text FROM documents WHERE lang = 'en' AND text IS NOT NULL""")
+@query(r"""SELECT doc_id, trim(regexp_replace(translate(text, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\s+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL""")
 def canonical_text(t):
-    return t.documents.where("lang = 'en' and text is not null").select("doc_id", A.canonical(F.col("text")).alias("text"))
+    return t.documents.where("text is not null").select("doc_id", A.canonical(F.col("text")).alias("text"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events""")

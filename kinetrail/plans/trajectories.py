@@ -317,6 +317,6 @@ def length_weighted_sample(t):
     return S.draw_by_weight(lens, "traj", "len", 150, lambda i: lcg(i * 7919, 1))
 
 
-@query(f"WITH {EV} SELECT traj, t, a, g FROM ev WHERE t < 3")
+@query(f"WITH {EV} SELECT traj, t, a, g FROM ev")
 def scan_standard(t):
-    return V.traj_events(t.events).where("t < 3").select("traj", "t", "a", "g")
+    return V.traj_events(t.events).select("traj", "t", "a", "g")

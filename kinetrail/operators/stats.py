@@ -9,8 +9,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from kinetrail.operators.views import steps
 from kinetrail.operators.windows import changed
 
-#: Datasets of one mixture; statistics of so many are small enough to broadcast.
+#: Rows of statistics (datasets) up to which they are broadcast.
 MAX_DATASETS = 10_000
+#: Draws that one call may ask for.
+MAX_DRAWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = MAX_DATASETS) -> DataFrame:
+    """A table with a broadcast hint if it has at most so many rows, else without one: Spark then joins by a shuffle. The count's work is kept in the session's cache, as the table is small if it is used."""
+    df = df.persist()
+    if df.limit(rows + 1).count() <= rows:
+        return F.broadcast(df)
+    df.unpersist()
+    return df
 
 
 def statistics(df: DataFrame, action: str, by: list[str] | None = None, exact: bool = True) -> DataFrame:
@@ -42,7 +53,7 @@ def normalize(df: DataFrame, action: str, stats: DataFrame, mode: str, mask: lis
         value = F.when(F.get(flags, i), one(x, s)).otherwise(x)
         return value if mode == "normal" else F.when(s["min"] == s["max"], 0.0).otherwise(value)
 
-    return df.join(F.broadcast(wide.limit(MAX_DATASETS)), by).withColumn(action, F.transform(action, at)).drop("_s")
+    return df.join(small(wide), by).withColumn(action, F.transform(action, at)).drop("_s")
 
 
 def offset_of(key: Column, offsets: dict) -> Column:
@@ -121,6 +132,8 @@ def subtask_sequence(df: DataFrame, label: str, by: str = "traj") -> DataFrame:
 def draw_by_weight(items: DataFrame, key: str, weight: str, n: int, draw: Callable[[Column], Column]) -> DataFrame:
     """n draws with replacement in proportion to integer weights: (i, key). draw(i) gives a long, taken modulo the total. Weights are one row for each item; their
     running sums are made in blocks, so no task needs them all."""
+    if n > MAX_DRAWS:
+        raise ValueError(f"at most {MAX_DRAWS} draws in one call")
     blocks = items.withColumn("_b", F.floor(F.col(key) / 1000))
     sums = blocks.groupBy("_b").agg(F.sum(weight).alias("_n"))
     base = sums.withColumn("_base", F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))

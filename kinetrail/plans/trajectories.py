@@ -114,7 +114,7 @@ def normalize_q99(t):
 def stats_join(t):
     df = V.traj_events(t.events)
     s = S.statistics(df.withColumn("action", F.array("a")), "action", by=["prim"])
-    return df.join(F.broadcast(s.where("dim = 0").limit(S.MAX_DATASETS)), "prim").select("traj", "t", "prim", r6(F.col("a") - F.col("mean")).alias("off"), r6("q99").alias("q99"))
+    return df.join(S.small(s.where("dim = 0")), "prim").select("traj", "t", "prim", r6(F.col("a") - F.col("mean")).alias("off"), r6("q99").alias("q99"))
 
 
 @query("SELECT doc_id, length(coalesce(text, '')) > 0 AS text_real, length(coalesce(lang, '')) > 0 AS lang_real, true AS n_chars_real FROM documents")

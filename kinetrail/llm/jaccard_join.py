@@ -10,9 +10,9 @@ geometrically with the size of its subset, as the length of its list does. A set
 reach tau + 1 also gives the signatures of its empty segments; if a probe is in that state and nothing else matches, its partner is too
 (their difference is at least the partner's units), so no pair is lost.
 
-Lists are not expanded into all pairs. First every member of a list is paired with the list's smallest set. What passes
-exact verification makes components; then lists whose members lie in several components give their pairs
-across components, pruned by a bound that is never wrong (bits of two parity sketches differ at most as often as the sets do).
+Lists are not expanded into all pairs. Lists of two are pairs. Every member of a longer list is paired with the list's hub, the member that is in most lists. What passes
+exact verification makes components; more rounds may pair the members of lists in several components with another hub; what
+is still open gives its pairs across components, pruned by a bound that is never wrong (bits of two parity sketches differ at most as often as the sets do).
 Equal sets are one node from the start.
 """
 
@@ -165,8 +165,8 @@ def _signatures_large(e: np.ndarray, sizes: np.ndarray, s: Scheme) -> tuple[np.n
 
 
 def _parity(e: np.ndarray, n: int) -> bytes:
-    """Parity of the elements in each of a power of two of cells, about n."""
-    bits = max(64, 1 << int(n - 1).bit_length() if n > 1 else 64)
+    """Parity of the elements in each of a power of two of cells, 4 n to 8 n: sets just below the threshold differ in nearly as many bits as elements."""
+    bits = max(64, 4 << int(n).bit_length())
     odd = (np.bincount((e >> U64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
 
@@ -213,7 +213,7 @@ def _pack(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n_
 
 
 def _index(words: int, num: int, den: int, n_parts: int):
-    """Texts to signature blocks: one row for each part of the key space and about 24 MB of text."""
+    """Texts to signature blocks: one row for each part of the key space and about 10 MB of text."""
 
     def run(batches):
         s, held, size = Scheme(num, den), [], 0
@@ -230,14 +230,14 @@ def _index(words: int, num: int, den: int, n_parts: int):
                 bands = s.band(sizes[large])
                 for band in np.unique(bands):
                     mine = large[bands == band]
-                    step = max(1, 2_000_000 // max(s.segments(int(band) + 1), int(sizes[mine].max())))
+                    step = max(1, 400_000 // max(s.segments(int(band) + 1), int(sizes[mine].max())))
                     for at in range(0, len(mine), step):
                         some = mine[at : at + step]
                         els = np.concatenate([e[edge[i] : edge[i + 1]] for i in some])
                         key, role, owner = _signatures_large(els, sizes[some], s)
                         held.append((key, ident[some][owner], sizes[some][owner], role))
                         size += len(key)
-                if size > 2_500_000:
+                if size > 1_000_000:
                     yield from _pack(held, n_parts)
                     held, size = [], 0
         if held:
@@ -247,7 +247,7 @@ def _index(words: int, num: int, den: int, n_parts: int):
 
 
 def _group(key, node, n, role, num: int, den: int) -> tuple:
-    """Of one part's signatures: star pairs, and the lists of three members or more."""
+    """Of one part's signatures: the pairs of lists of two, and the longer lists."""
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     keep = np.zeros(len(key), bool)
@@ -270,33 +270,33 @@ def _group(key, node, n, role, num: int, den: int) -> tuple:
     count = np.diff(np.append(start, len(key)))
     some = np.bitwise_or.reduceat(role, start)
     live = (count > 1) & ((some & PROBE) > 0) & ((some & INDEX) > 0)
-    first = np.repeat(start, count)
-    alive = np.repeat(live, count) & (np.arange(len(key)) != first)
-    alive &= n * num <= n[first] * den
-    pairs = np.unique(np.stack([node[first[alive]], node[alive]], 1), axis=0) if alive.any() else np.zeros((0, 2), U64)
-    # lists that a star does not settle, each once
+    # a list of two is a pair; entries of a list are in order of size and node
+    first = start[live & (count == 2)]
+    first = first[n[first + 1] * num <= n[first] * den]
+    pairs = np.unique(np.stack([node[first], node[first + 1]], 1), axis=0) if len(first) else np.zeros((0, 2), U64)
+    # longer lists, each once
     big = live & (count > 2)
     if not big.any():
         return pairs[:, 0], pairs[:, 1], []
     ident = K.mix(np.add.reduceat(K.mix(node * U64(4) + role.astype(U64)), start))
     _, once = np.unique(ident[big], return_index=True)
     picked = np.flatnonzero(big)[once]
-    lists = [(int(ident[i]) & (_MASK >> 1), node[start[i] : start[i] + count[i]], role[start[i] : start[i] + count[i]]) for i in picked]
+    lists = [(int(ident[i]) & (_MASK >> 1), *(x[start[i] : start[i] + count[i]].astype(t).tobytes() for x, t in ((node, U64), (n, np.uint32), (role, np.int8)))) for i in picked]
     return pairs[:, 0], pairs[:, 1], lists
 
 
 def _match(num: int, den: int):
-    """Parts of the key space, in order, to candidate pairs (bucket null) and to members of unsettled lists."""
+    """Parts of the key space, in order, to candidate pairs (bucket null) and longer lists, packed."""
 
     def out(held):
         cols = [np.frombuffer(b"".join(x), t) for x, t in zip(held, (U64, U64, np.uint32, np.int8), strict=True)]
         a, b, lists = _group(cols[0], cols[1], cols[2].astype(np.int64), cols[3], num, den)
+        names = ["a", "b", "bucket", "nodes", "sizes", "roles"]
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.nulls(len(a), pa.int32())], ["bucket", "a", "b", "role"])
-        for lo in range(0, len(lists), 1000):
-            some = lists[lo : lo + 1000]
-            size = [len(x[1]) for x in some]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in some], size), pa.int64()), pa.array(np.concatenate([x[1] for x in some]).astype(np.int64)), pa.nulls(sum(size), pa.int64()), pa.array(np.concatenate([x[2] for x in some]), pa.int32())], ["bucket", "a", "b", "role"])
+            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.nulls(len(a), pa.int64()), *[pa.nulls(len(a), pa.binary())] * 3], names)
+        for lo in range(0, len(lists), 2000):
+            some = list(zip(*lists[lo : lo + 2000], strict=True))
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some[0]), pa.int64())] * 2, pa.array(some[0], pa.int64()), *(pa.array(x, pa.binary()) for x in some[1:])], names)
 
     def run(batches):
         now, held = None, ([], [], [], [])
@@ -315,6 +315,16 @@ def _match(num: int, den: int):
     return run
 
 
+def _members(batches):
+    """Packed lists to their members."""
+    for b in batches:
+        for i, bucket in enumerate(b.column("bucket").to_pylist()):
+            cols = [np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in (("nodes", np.int64), ("sizes", np.uint32), ("roles", np.int8))]
+            for lo in range(0, len(cols[0]), 50_000):
+                part = [c[lo : lo + 50_000] for c in cols]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), bucket)), pa.array(part[0]), *(pa.array(c.astype(np.int32)) for c in part[1:])], ["bucket", "node", "n", "role"])
+
+
 def _folded(x: bytes, bits: int) -> np.ndarray:
     v = np.frombuffer(x, np.uint8)
     while len(v) * 8 > bits:
@@ -372,23 +382,18 @@ def _across(num: int, den: int):
 
     def pairs(rows):
         node, comp, n, role = (np.array(x) for x in list(zip(*rows, strict=True))[:4])
-        sketch = [r[4] for r in rows]
-        a, b = [], []
-        for i in range(len(rows)):
-            if not role[i] & PROBE:
-                continue
+        bits = 8 * min(len(r[4]) for r in rows)
+        # one sketch size for the list: its sizes lie within two bands, so this folds once at most
+        sketch = np.stack([_folded(r[4], bits) for r in rows]).view(U64)
+        for i in np.flatnonzero(role & PROBE):
             j = np.arange(i + 1, int(np.searchsorted(n, n[i] * den // num, "right")))
             j = j[(comp[j] != comp[i]) & (role[j] & INDEX > 0)]
-            for k in j:
-                bits = min(len(sketch[i]), len(sketch[k])) * 8
-                if np.bitwise_count(_folded(sketch[i], bits) ^ _folded(sketch[k], bits)).sum() <= (n[i] + n[k]) * (den - num) // (den + num):
-                    a.append(node[i])
-                    b.append(node[k])
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            for lo in range(0, len(j), 20_000):
+                k = j[lo : lo + 20_000]
+                apart = np.bitwise_count(sketch[k] ^ sketch[i]).sum(1, dtype=np.int64)
+                k = k[apart <= (n[i] + n[k]) * (den - num) // (den + num)]
+                if len(k):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), node[i])), pa.array(node[k])], ["a", "b"])
 
     def run(batches):
         now, rows = None, []
@@ -410,12 +415,12 @@ class JaccardJoin:
 
     similar(docs) returns a row per document: doc_id, n_shingles, component_id, n_links (verified links of its set to other
     sets that the join followed). Null text is empty; an empty set links with nothing and is its own component. Words compare with A-Z
-    lower-cased. Repeated rows and equal texts share a node. A row whose doc_id is null keeps its row; it takes the component of its set. Extra
+    lower-cased. Repeated rows and equal texts share a node; rows that share an id are taken to share the text. A row whose doc_id is null keeps its row; it takes the component of its set. Extra
     columns are ignored, so clashing names do no harm. Sets are compared by 64-bit shingle hashes. An empty table gives an empty result.
     """
 
-    def __init__(self, words: int = 5, num: int = 75, den: int = 100):
-        self.words, self.num, self.den = words, num, den
+    def __init__(self, words: int = 5, num: int = 75, den: int = 100, rounds: int = 1):
+        self.words, self.num, self.den, self.rounds = words, num, den, rounds
 
     def similar(self, docs: DataFrame) -> DataFrame:
         spark = docs.sparkSession
@@ -425,18 +430,27 @@ class JaccardJoin:
         nodes = written(profile.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x")).select("node", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.sketch").alias("sketch")), "nodes")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((profile.agg(F.sum("n_shingles")).first()[0] or 0) // 4_000_000) + 1)
         signed = docs.where("text is not null").mapInArrow(_index(self.words, self.num, self.den, 4 * parts), "part int, key binary, node binary, n binary, role binary")
-        found = written(signed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_match(self.num, self.den), "bucket long, a long, b long, role int"), "found")
-        stars = found.where("bucket is null").select("a", "b").distinct()
-        links = written(self._links(docs, stars, nodes), "links")
-        comp = components(links)
-        lists = found.where("bucket is not null").select("bucket", F.col("a").alias("node"), "role").groupBy("bucket", "node").agg(F.max("role").alias("role"))
-        member = lists.join(nodes.select("node", "rep"), "node").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("bucket", "node", "comp", "role")
-        member = written(member, "members")
-        open_ = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        rest = member.join(open_, "bucket").join(nodes.select("node", "n", "sketch"), "node").repartition(parts, "bucket").sortWithinPartitions("bucket", "n", "node")
-        more = rest.select("bucket", "node", "comp", "n", "role", "sketch").mapInArrow(_across(self.num, self.den), "a long, b long").distinct()
-        links = written(links.unionByName(self._links(docs, more.join(stars, ["a", "b"], "left_anti"), nodes)), "links")
+        schema = "a long, b long, bucket long, nodes binary, sizes binary, roles binary"
+        found = written(signed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_match(self.num, self.den), schema), "found")
+        tried = found.where("bucket is null").select("a", "b").distinct()
+        links = written(self._links(docs, tried, nodes), "links")
         comp = components(links)
+        packed = found.where("bucket is not null").select("bucket", "nodes", "sizes", "roles").dropDuplicates(["bucket"])
+        rest = written(packed.mapInArrow(_members, "bucket long, node long, n int, role int"), "lists")
+        rest = rest.join(rest.groupBy("node").agg(F.count("*").alias("degree")), "node")
+        for step in range(self.rounds + 1):
+            rest = self._open(rest, nodes, comp)
+            if rest.isEmpty():
+                break
+            last = step == self.rounds
+            more = (self._exhaustive(rest, nodes, parts) if last else self._hubs(rest, step)).distinct()
+            more = written(more.join(tried, ["a", "b"], "left_anti"), "candidates")
+            new = written(self._links(docs, more, nodes), "links")
+            if new.isEmpty():
+                continue
+            links = links.unionByName(new)
+            comp = components(links)
+            tried = tried.unionByName(more)
         of = nodes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
         degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
         of = of.join(degree, "rep", "left").select("node", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -444,6 +458,44 @@ class JaccardJoin:
         empty = slim.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
         return full.unionByName(empty)
 
+    def first_of_each(self, docs: DataFrame) -> DataFrame:
+        """The rows of docs whose id is the smallest of its component, one for each id; rows without an id stay."""
+        found = self.similar(docs).select("doc_id", "component_id")
+        # only ids of components of several documents go; a slim anti join spares those that keep to themselves
+        gone = written(found.where("doc_id > component_id").select("doc_id").distinct(), "gone")
+        if gone.count() <= BROADCAST_ROWS:
+            gone = F.broadcast(gone)
+        left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+        twice = written(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+        if twice.isEmpty():
+            return left
+        again = left.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+        return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again)
+
+    @staticmethod
+    def _open(lists: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
+        """Lists whose members lie in several components, with each member's; a set without links is a component of its own (a negative number)."""
+        of = comp.select(F.col("id").alias("rep"), F.col("component").alias("comp")).join(nodes.select("rep", "node"), "rep").select("node", "comp")
+        member = lists.drop("comp").join(of, "node", "left").withColumn("comp", F.coalesce("comp", -F.col("node") - 1)).select("bucket", "node", "n", "degree", "role", "comp")
+        member = written(member, "members")
+        open_ = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+        return written(member.join(open_, "bucket"), "open")
+
+    def _hubs(self, rest: DataFrame, step: int) -> DataFrame:
+        """A list's members against its hub, the member that is in most lists: as a rule the text that the others were made from. Later rounds draw others, by chance and degree."""
+        luck = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1000)) + 1.0 if step else F.lit(1.0)
+        hub = rest.groupBy("bucket").agg(F.max(F.struct((F.col("degree") * luck).alias("rank"), "node", "n", "comp")).alias("hub"))
+        n, m = F.col("n"), F.col("hub.n")
+        pairs = rest.join(hub, "bucket").where((F.col("comp") != F.col("hub.comp")) & (F.greatest(n, m) * self.num <= F.least(n, m) * self.den))
+        first = (n < m) | ((n == m) & (F.col("node") < F.col("hub.node")))
+        return pairs.select(F.when(first, F.col("node")).otherwise(F.col("hub.node")).alias("a"), F.when(first, F.col("hub.node")).otherwise(F.col("node")).alias("b"))
+
+    def _exhaustive(self, rest: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+        """All that is left: pairs of a list across components whose sketches allow a link."""
+        rest = rest.select("bucket", "node", "comp", "n", "role").join(nodes.select("node", "sketch"), "node")
+        rest = rest.repartition(parts, "bucket").sortWithinPartitions("bucket", "n", "node")
+        return rest.select("bucket", "node", "comp", "n", "role", "sketch").mapInArrow(_across(self.num, self.den), "a long, b long")
+
     def _links(self, docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs whose sets pass the threshold, as documents a > b."""
         left = nodes.select(F.col("node").alias("a"), F.col("rep").alias("da"), F.col("n").alias("na"), F.col("sketch").alias("sa"))

@@ -72,7 +72,7 @@ class QualityRules:
     row; extra columns are ignored; an empty table gives an empty result. Without labels the probability is 0.5.
     """
 
-    def __init__(self, max_rows: int = 6000, held_out: int | None = 1, threshold: float = 0.5, min_words: int = 50, max_repeat: int = 50, features: linear.Features | None = None):
+    def __init__(self, max_rows: int = 3000, held_out: int | None = 1, threshold: float = 0.5, min_words: int = 50, max_repeat: int = 50, features: linear.Features | None = None):
         self.max_rows, self.held_out, self.threshold = max_rows, held_out, threshold
         self.min_words, self.max_repeat = min_words, max_repeat
         self.features = features or linear.Features(word_orders=(1, 2), char_orders=(3, 4))

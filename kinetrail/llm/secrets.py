@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and random strings found by their token efficiency.
 
-A string that a byte-pair vocabulary has not seen needs many tokens for its characters. Runs of 16 or more characters of [A-Za-z0-9+/_=-] with
-letters and digits are encoded with a tiktoken vocabulary; few characters per token mark a random string. Known digests (hexadecimal of 32, 40, 56, 64,
-96 or 128 digits), UUIDs, numbers with units, dates and parts of addresses are identifiers, not secrets, and go first.
+A string that a byte-pair vocabulary has not seen needs many tokens for its characters. Runs of 16 or more characters of [A-Za-z0-9+/_=-] are
+split at their separators and the parts encoded with a tiktoken vocabulary; few characters per token mark a random part, and 16 or more characters of such parts
+a random string, whatever names or prefixes stand before them. Known digests (hexadecimal of 32, 40, 56, 64, 96 or 128 digits), UUIDs, numbers, dates
+and the names of mail addresses are identifiers, not secrets, and go first.
 """
 
 from __future__ import annotations
@@ -23,8 +24,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})$")
-UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
-PLAIN = re.compile(r"[0-9+/_=-]+$|[A-Za-z]+[-_]?[0-9]{1,4}$|(?:[A-Za-z]+[-_/=+])+[A-Za-z0-9]*$")
+UUID = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
+PART = re.compile(r"[A-Za-z0-9]+")
+#: A name, perhaps numbered; shorter ones than NAME letters are too short to tell from random ones.
+PLAIN = re.compile(r"[A-Za-z]+[0-9]{0,4}$")
+NAME = 6
+#: Characters of a random string at least, and those encoded at once.
+LEAST, SLICE = 16, 1024
 _RUN_BYTES = np.zeros(256, bool)
 _RUN_BYTES[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
 _HEX_BYTES = np.zeros(256, bool)
@@ -55,16 +61,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+def random_parts(run: str, encode, most: float) -> list[tuple[int, int]]:
+    """(start, end) of a run's parts with few characters per token."""
+    out = []
+    for m in PART.finditer(UUID.sub(lambda u: "-" * len(u.group()), run)):
+        s = m.group()
+        if s.isdigit() or DIGEST.match(s) or (len(s) < NAME and PLAIN.match(s)):
+            continue
+        if len(s) <= most * sum(len(encode(s[i : i + SLICE])) for i in range(0, len(s), SLICE)):
+            out.append(m.span())
+    return out
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], encode, most: float) -> list[tuple[int, int, int]]:
+    """A run counts if its random parts have LEAST characters; beside a base span only its random parts of that size do."""
     out = []
     for m in RUN.finditer(text):
-        s, a, b = m.group().strip("=-_/+"), m.start(), m.end()
-        if len(s) < 16 or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or DIGEST.match(s) or UUID.match(s) or PLAIN.match(s):
+        a, b = m.span()
+        if text[b : b + 1] == "@" and text[max(0, a - 1) : a] != ":":
             continue
-        if any(x < b and a < y for x, y, _ in base) or text[max(0, a - 3) : a] == "://" or text[max(0, a - 1) : a] in ("@", ".") or text[b : b + 1] == "@":
+        parts = [(a + x, a + y) for x, y in random_parts(m.group(), encode, most)]
+        if sum(y - x for x, y in parts) < LEAST:
             continue
-        if len(s) <= most * len(encode(s)):
+        if not any(x < b and a < y for x, y, _ in base):
             out.append((a, b, 3))
+        else:
+            out += [(x, y, 3) for x, y in parts if y - x >= LEAST and not any(p < y and x < q for p, q, _ in base)]
     return out
 
 
@@ -84,12 +106,7 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     for table, least in ((_HEX_BYTES, 24), (_RUN_BYTES, 16)):
         starts, ends, _ = K.word_bounds(data, offs, table)
         long = ends - starts >= least
-        starts, ends = starts[long], ends[long]
-        if table is _RUN_BYTES and len(starts):
-            digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57), dtype=np.int64)])
-            some = digits[ends] > digits[starts]
-            starts = starts[some]
-        at.append(starts)
+        at.append(starts[long])
     out[np.searchsorted(offs, np.concatenate(at), "right") - 1] = True
     return out
 

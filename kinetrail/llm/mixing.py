@@ -1,13 +1,16 @@
 """Mixing sources to target weights by soft membership.
 
 A classifier learned from labelled rows gives every document a posterior over domains. Document rates r >= least minimise the squared
-distance between the expected domain tokens sum_d r_d n_d p_dk and the targets, by accelerated projected gradient steps. A document's rate follows from its
-posterior and the steps' residuals alone, so each step is one distributed sum over the table of distinct posteriors (rounded to
-three digits) with their tokens; only K numbers for each partition reach the driver.
+distance between the expected domain tokens sum_d r_d n_d p_dk and the targets; of all such rates they are those nearest to 1. They have the form
+max(least, 1 + p . price) with one price for each domain, which Newton steps with a line search find in the dual, a convex function of K variables. Each step is
+one distributed sum over the table of distinct posteriors (rounded to three digits) with their tokens; only a few times K * K numbers for each partition
+reach the driver.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +23,10 @@ from kinetrail.llm.store import written
 
 #: Digits of a posterior.
 DIGITS = 3
+#: Weight of the prices' squares in the dual, which bounds the prices where the targets cannot be met; the tokens' total counts as 1.
+RIDGE = 1e-9
+#: Lengths of a Newton step that one sum tries.
+LENGTHS = 0.25 ** np.arange(12)
 
 
 @dataclass
@@ -48,15 +55,46 @@ class Posterior:
         return words, np.round(p, DIGITS)
 
 
-def replay(p: np.ndarray, residuals: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps so far, and the extrapolated rates at which the next residual is taken."""
-    r = np.ones(len(p))
-    y, t = r, 1.0
-    for g in residuals:
-        new = np.maximum(least, y - p @ g)
-        grown = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y, r, t = new + (t - 1) / grown * (new - r), new, grown
-    return r, np.maximum(least, y)
+def rated(p: np.ndarray, price: np.ndarray, least: float) -> np.ndarray:
+    return np.maximum(least, 1 + p @ price)
+
+
+def dual(p: np.ndarray, n: np.ndarray, prices: np.ndarray, least: float) -> np.ndarray:
+    """For each row of prices the sums of the dual's value, gradient and second derivatives over the documents: prices x (1 + K + K * K)."""
+    k, out = p.shape[1], []
+    for price in prices:
+        z, low = p @ price, least - 1
+        free = z >= low
+        value = np.where(free, z + z * z / 2, least * (z - low) + low + low * low / 2)
+        held = p * (n * free)[:, None]
+        out.append(np.concatenate([[n @ value], (n * rated(p, price, least)) @ p, (held.T @ p).ravel()]))
+    return np.array(out).reshape(len(prices), 1 + k + k * k)
+
+
+def solve(total: Callable[[np.ndarray], np.ndarray], goal: np.ndarray, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """Prices, expected tokens, steps and whether the prices are optimal. total: dual()'s sums over all documents; goal as a share of all tokens.
+
+    The steps end when each domain is within tolerance of its own goal, or when the dual's gradient shows that no rates come nearer.
+    """
+    k = len(goal)
+    price, sums = np.zeros(k), total(np.zeros((1, k)))[0]
+    value = sums[0]
+    for step in range(steps + 1):
+        tokens, slope = sums[1 : k + 1], sums[1 : k + 1] - goal + RIDGE * price
+        met = (np.abs(tokens - goal) <= tolerance * np.where(goal > 0, goal, 1)).all()
+        if met or np.abs(slope).max() <= 1e-9 * max(1.0, goal.sum()) or step == steps:
+            return price, tokens, step, bool(met or np.abs(slope).max() <= 1e-9 * max(1.0, goal.sum()))
+        way = -np.linalg.lstsq(sums[k + 1 :].reshape(k, k) + RIDGE * np.eye(k), slope, rcond=None)[0]
+        tried = price + LENGTHS[:, None] * way
+        found = total(tried)
+        values = found[:, 0] - tried @ goal + RIDGE / 2 * (tried**2).sum(1)
+        slopes = np.abs(found[:, 1 : k + 1] - goal + RIDGE * tried).max(1)
+        # values that differ by rounding only: the smaller gradient
+        i = min(np.flatnonzero(values <= values.min() + 1e-13 * (1 + abs(values.min()))), key=lambda j: slopes[j])
+        if values[i] >= value and slopes[i] >= np.abs(slope).max():
+            return price, tokens, step, bool(np.abs(slope).max() <= 1e-6 * max(1.0, goal.sum()))
+        price, sums, value = tried[i], found[i], values[i]
+    raise AssertionError
 
 
 class Mixer:
@@ -66,6 +104,8 @@ class Mixer:
     so far that no domain must shrink. copies: the rate's whole part, and one more if a seeded hash of the id falls below the rest. Null texts have no
     tokens and rate 1, as have empty ones (they weigh nothing). Repeated rows each get their row; ties in the posterior stay soft; extra
     columns are kept by mix() and ignored by rates(). An empty table gives an empty result; without labels posteriors are uniform.
+    report: tokens and goal by domain; met, whether each domain is within tolerance of its own goal; optimal, whether no rates come nearer. Where the
+    targets are not met, fit() warns.
     """
 
     def __init__(self, targets: dict[str, float], max_rows: int = 2000, steps: int = 60, tolerance: float = 1e-4, grow: bool = False, least: float = 0.0, seed: int = 5):
@@ -74,7 +114,7 @@ class Mixer:
         self.max_rows, self.steps, self.tolerance, self.grow, self.least, self.seed = max_rows, steps, tolerance, grow, least, seed
         self.features = linear.Features(word_orders=(1,), bits=16)
         self.posterior: Posterior | None = None
-        self.residuals: list[np.ndarray] = []
+        self.price = np.zeros(len(self.targets))
         self.report: dict = {}
 
     def fit(self, docs: DataFrame, labelled: DataFrame) -> Mixer:
@@ -100,58 +140,46 @@ class Mixer:
         return docs.mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>")
 
     def _solve(self, docs: DataFrame) -> None:
-        spark, k, least = docs.sparkSession, len(self.targets), self.least
+        k, least = len(self.targets), self.least
         table = self._soft(docs).where("n_tokens > 0").groupBy("posterior").agg(F.sum("n_tokens").alias("n"))
         table = written(table, "posteriors")
 
-        def total(of):
+        def total(of, shape):
             def run(batches):
-                acc = np.zeros((k, k + 1))
+                acc = np.zeros(shape)
                 for b in batches:
-                    p, n = np.array(b.column("posterior").to_pylist()).reshape(-1, k), b.column("n").to_numpy()
+                    p, n = b.column("posterior").flatten().to_numpy().reshape(-1, k), b.column("n").to_numpy()
                     if len(p):
                         acc += of(p, n.astype(float))
                 yield pa.RecordBatch.from_arrays([pa.array([acc.ravel().tolist()], pa.list_(pa.float64()))], ["x"])
 
             rows = [r.x for r in table.mapInArrow(run, "x array<double>").collect()]
-            return np.sum(rows, axis=0).reshape(k, k + 1) if rows else np.zeros((k, k + 1))
+            return np.sum(rows, axis=0).reshape(shape) if rows else np.zeros(shape)
 
-        moments = total(lambda p, n: np.hstack([(p * n[:, None]).T @ p, ((p * n[:, None]).sum(0))[:, None]]))
-        now, size = moments[:, k], moments[:, k].sum()
-        weights = np.array(list(self.targets.values()))
-        self.residuals = []
+        now = total(lambda p, n: n @ p, (k,))
+        size, weights = now.sum(), np.array(list(self.targets.values()))
+        self.price = np.zeros(k)
         if not size:
             return
         goal = weights * (max(now / np.maximum(weights, 1e-12)) if self.grow else size)
-        step = 1 / np.linalg.eigvalsh(moments[:, :k]).max()
-        held = spark.sparkContext.broadcast(None)
-        for _ in range(self.steps):
-            held.unpersist()
-            held = spark.sparkContext.broadcast(list(self.residuals))
-
-            def both(p, n, held=held):
-                r, y = replay(p, held.value, least)
-                out = np.zeros((k, k + 1))
-                out[0, :k], out[1, :k] = (n * y) @ p, (n * r) @ p
-                return out
-
-            sums = total(both)
-            self.report = {"tokens": dict(zip(self.targets, sums[1, :k], strict=True)), "goal": dict(zip(self.targets, goal, strict=True)), "steps": len(self.residuals)}
-            if np.abs(sums[1, :k] - goal).max() <= self.tolerance * goal.sum():
-                break
-            self.residuals.append(step * (sums[0, :k] - goal))
+        price, tokens, step, optimal = solve(lambda prices: total(lambda p, n: dual(p, n / size, prices, least), (len(prices), 1 + k + k * k)), goal / size, self.steps, self.tolerance)
+        self.price, tokens = price, tokens * size
+        met = bool((np.abs(tokens - goal) <= self.tolerance * np.where(goal > 0, goal, size)).all())
+        self.report = {"tokens": dict(zip(self.targets, tokens, strict=True)), "goal": dict(zip(self.targets, goal, strict=True)), "steps": step, "met": met, "optimal": optimal}
+        if not met:
+            warnings.warn(f"targets are not met{', no rates come nearer' if optimal else ', steps ran out'}: {self.report}", stacklevel=3)
 
     def _copies(self, ids: np.ndarray, rate: np.ndarray) -> np.ndarray:
         u = (K.mix(ids.astype(np.int64).astype(np.uint64) ^ np.uint64(self.seed * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
         return np.floor(rate + u).astype(np.int64)
 
-    def _rate(self, p: np.ndarray, n: np.ndarray, residuals) -> np.ndarray:
-        rate = np.round(replay(p, residuals, self.least)[0], 6)
+    def _rate(self, p: np.ndarray, n: np.ndarray, price: np.ndarray) -> np.ndarray:
+        rate = np.round(rated(p, price, self.least), 6)
         rate[n == 0] = 1.0
         return rate
 
     def rates(self, docs: DataFrame) -> DataFrame:
-        spread, mixer = docs.sparkSession.sparkContext.broadcast(self.residuals), self._light()
+        spread, mixer = docs.sparkSession.sparkContext.broadcast(self.price), self._light()
 
         def run(batches):
             for b in batches:
@@ -164,14 +192,14 @@ class Mixer:
         return self._soft(docs).mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>, rate double, copies long")
 
     def mix(self, docs: DataFrame) -> DataFrame:
-        spread, mixer = docs.sparkSession.sparkContext.broadcast((self.posterior, self.residuals)), self._light()
+        spread, mixer = docs.sparkSession.sparkContext.broadcast((self.posterior, self.price)), self._light()
 
         def run(batches):
-            posterior, residuals = spread.value
+            posterior, price = spread.value
             for b in batches:
                 n, p = posterior(b.column("text"))
                 ids = b.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-                copies = mixer._copies(ids, mixer._rate(p, n, residuals))
+                copies = mixer._copies(ids, mixer._rate(p, n, price))
                 at = np.repeat(np.arange(b.num_rows), copies)
                 for lo in range(0, len(at), max(1, b.num_rows)):
                     yield b.take(pa.array(at[lo : lo + max(1, b.num_rows)]))

@@ -98,6 +98,42 @@ def test_mixing(spark, tables, odd):
     assert empty.rates(docs.limit(0)).count() == 0
 
 
+class _Given(Mixer):
+    """Documents that bring their posteriors along."""
+
+    def _soft(self, docs):
+        return docs
+
+
+def test_mixing_skewed_sources(spark):
+    def solved(rows, **options):
+        mixer = _Given(Q.TARGETS, **options)
+        mixer._solve(spark.createDataFrame([(i, n, p) for i, (n, p) in enumerate(rows)], "doc_id long, n_tokens long, posterior array<double>"))
+        return mixer
+
+    for shares in ((850, 100, 40, 10), (9000, 600, 390, 10), (6000, 2000, 2000, 1)):
+        for options in ({}, {"grow": True, "least": 1.0}):
+            mixer = solved([(n, [float(i == j) for j in range(4)]) for i, n in zip((1, 0, 3, 2), shares, strict=True)], **options)
+            assert mixer.report["met"] and all(abs(mixer.report["tokens"][k] / g - 1) < 1e-3 for k, g in mixer.report["goal"].items())
+            assert mixer.price.shape == (4,)
+    # soft posteriors: rates of at least 0 meet the goal; those of at least 1 cannot, and none come nearer (Karush-Kuhn-Tucker)
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(1, 500)), np.round(rng.dirichlet([3, 0.3, 0.05, 0.3]), 3).tolist()) for _ in range(2000)]
+    n, p = np.array([n for n, _ in rows]), np.array([p for _, p in rows])
+    mixer = solved(rows)
+    rate, goal = mixer._rate(p, n, mixer.price), np.array(list(mixer.report["goal"].values()))
+    assert mixer.report["met"] and rate.min() >= 0 and np.allclose((rate * n) @ p, goal, rtol=1e-3)
+    with pytest.warns(UserWarning, match="no rates come nearer"):
+        mixer = solved(rows, grow=True, least=1.0)
+    rate, goal = mixer._rate(p, n, mixer.price), np.array(list(mixer.report["goal"].values()))
+    slope = p @ ((rate * n) @ p - goal) / goal.sum()
+    assert rate.min() >= 1 and slope.min() > -1e-5 and np.abs(slope[rate > 1]).max() < 1e-5
+    # a domain without any document cannot be met: said so, and no rates come nearer
+    with pytest.warns(UserWarning, match="not met"):
+        mixer = solved([(100, [1.0, 0.0, 0.0, 0.0]), (100, [0.0, 1.0, 0.0, 0.0]), (100, [0.0, 0.0, 1.0, 0.0])])
+    assert mixer.report["optimal"] and not mixer.report["met"]
+
+
 def test_calibration_and_trees():
     rng = np.random.default_rng(0)
     s = rng.normal(size=4000)

@@ -5,8 +5,11 @@ pointer: step j emits the word under the pointer and moves on if bit j of that w
 embeddings at a small Hamming distance, as the walks fall into step again after an edit. A repetition hashes a few
 sampled steps of one walk; two windows that agree there are candidates. A window of an item's size begins at every word of a document. The items'
 side enters the table at every word of the item whose sampled steps stay inside it, which makes up for edits near a window's head. An
-alignment becomes a candidate when two of the w * repetitions keys agree on it: with random edits of 30 % of an item's words (15 to 60 of them) that
-reaches 0.99 of the items, with 20 % all of them.
+alignment becomes a candidate when two of the w * repetitions keys agree on it.
+
+The walks miss some passages near the allowed edits, short ones above all. So each item is also cut into one piece more than the edits allowed: at least one
+piece is left whole by any of them, and an alignment by a whole piece is a candidate, too. No passage within the allowed edits is missed. Before verification
+a candidate's stretch must hold as many words of the item as the edits leave.
 
 Every candidate alignment is verified: the smallest edit distance in words between the item and a stretch of the document around it (bit-parallel,
 both ends free in the document) must not exceed max_error of the item's words.
@@ -25,8 +28,10 @@ from kinetrail.llm import kernels as K
 U64 = np.uint64
 #: Items of one broadcast block; more items take more passes over the documents.
 BLOCK_ITEMS = 20_000
-#: Items of fewer words also enter the table by runs of words.
+#: Items of fewer words enter the table by all runs of words of a piece's size, longer ones by their pieces.
 SHORT = 14
+#: Words of candidate stretches that are tested at once.
+TESTED = 1 << 21
 
 
 def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,19 +110,31 @@ class Items:
         for key, reach in walks.keys(h):
             ok = reach < left
             found.append((key[ok], item[ok], at[ok]))
-        # items too short for a walk: runs of words, of which one survives the allowed edits
-        self.short = set()
+        # runs of words, of which one survives the allowed edits
+        self.runs = set()
         for i, w in enumerate(self.words):
+            pieces = int(max_error * len(w)) + 1
             if 0 < len(w) < SHORT:
-                size = max(1, len(w) // (int(max_error * len(w)) + 1))
-                self.short.add(size)
+                size = max(1, len(w) // pieces)
+                self.runs.add(size)
                 key = self.grams(w, size)
                 found.append((key, np.full(len(key), i), np.arange(len(key))))
+            elif len(w):
+                cuts = np.arange(pieces + 1) * len(w) // pieces
+                for size in set(np.diff(cuts).tolist()) - {0}:
+                    self.runs.add(size)
+                    place = cuts[:-1][np.diff(cuts) == size]
+                    found.append((self.grams(w, size)[place], np.full(len(place), i), place))
         key, self.item, self.at = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         order = np.argsort(key, kind="stable")
         self.key, self.item, self.at = key[order], self.item[order], self.at[order]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.key >> U64(42)).astype(np.int64)] = True
+        # the words of each item, as bits of a table
+        self.salt = K.mix(np.arange(1, len(rows) + 1).astype(U64))
+        self.shift = U64(64 - max(16, int(16 * len(h)).bit_length()))
+        self.held = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.held[(K.mix(h ^ self.salt[item]) >> self.shift).astype(np.int64)] = True
 
     @staticmethod
     def grams(words: np.ndarray, size: int) -> np.ndarray:
@@ -127,21 +144,38 @@ class Items:
             key = key * U64(0x9FB21C651E98DF25) + words[j : j + n]
         return K.mix(key)
 
-    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position, item and the position's place in the item, for all agreeing keys."""
-        at, lo, hi = [], [], []
-        streams = [k for k, _ in self.walks.keys(words)] + [self.grams(words, s) for s in sorted(self.short)]
-        for key in streams:
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Position, item, the position's place in the item and whether a run of words agrees, for all agreeing keys."""
+        at, lo, hi, runs = [], [], [], []
+        streams = [(k, False) for k, _ in self.walks.keys(words)] + [(self.grams(words, s), True) for s in sorted(self.runs)]
+        for key, run in streams:
             p = np.flatnonzero(self.bits[(key >> U64(42)).astype(np.int64)])
             a, b = np.searchsorted(self.key, key[p]), np.searchsorted(self.key, key[p], "right")
             ok = b > a
             at.append(p[ok])
             lo.append(a[ok])
             hi.append(b[ok])
-        at, lo, hi = (np.concatenate(x) for x in (at, lo, hi))
+            runs.append(np.full(ok.sum(), run))
+        at, lo, hi, runs = (np.concatenate(x) for x in (at, lo, hi, runs))
         n = hi - lo
         i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        return np.repeat(at, n), self.item[i], self.at[i]
+        return np.repeat(at, n), self.item[i], self.at[i], np.repeat(runs, n)
+
+    def possible(self, words: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the stretch from a to b holds as many words of the item as the allowed edits leave."""
+        least, size = self.size[item] - (self.max_error * self.size[item]).astype(np.int64), b - a
+        out, ends = np.zeros(len(item), bool), np.cumsum(size)
+        lo = 0
+        while lo < len(item):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + TESTED, "right")))
+            n = size[lo:hi]
+            heads = np.cumsum(n) - n
+            at = np.arange(n.sum()) - np.repeat(heads, n) + np.repeat(a[lo:hi], n)
+            held = self.held[(K.mix(words[at] ^ np.repeat(self.salt[item[lo:hi]], n)) >> self.shift).astype(np.int64)]
+            sums = np.concatenate([[0], np.cumsum(held)])
+            out[lo:hi] = sums[heads + n] - sums[heads] >= least[lo:hi]
+            lo = hi
+        return out
 
     def search(self, column: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item, distance, first word of the stretch) for each pair of a text and an item in it."""
@@ -149,11 +183,11 @@ class Items:
         data, offs = K.buffers(column)
         for lo, hi in K.groups(offs):
             words, first = _words(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            pos, item, at = self.candidates(words)
+            pos, item, at, runs = self.candidates(words)
             doc = np.searchsorted(first, pos, "right") - 1
             start = pos - at
             order = np.lexsort((start, item, doc))
-            doc, item, start = doc[order], item[order], start[order]
+            doc, item, start, runs = doc[order], item[order], start[order], runs[order]
             if not len(doc):
                 continue
             slack = self.slack[item]
@@ -161,13 +195,15 @@ class Items:
             new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > slack[1:])
             heads = np.flatnonzero(new)
             stops = np.append(heads[1:], len(doc))
-            # an alignment needs two agreeing keys; short items have few keys, so that one is enough
-            good = (stops - heads > 1) | (self.size[item[heads]] < SHORT)
-            for i, j in zip(heads[good].tolist(), stops[good].tolist(), strict=True):
-                d, t = int(doc[i]), int(item[i])
-                w, gap = self.words[t], int(self.slack[t])
-                a = max(int(start[i]) - gap, int(first[d]))
-                b = min(int(start[j - 1]) + len(w) + gap, int(first[d + 1]))
+            # an alignment needs two agreeing keys of walks, or a run of words
+            good = (stops - heads > 1) | np.logical_or.reduceat(runs, heads)
+            heads, stops = heads[good], stops[good]
+            doc, item, head, tail = doc[heads], item[heads], start[heads], start[stops - 1]
+            gap = self.slack[item]
+            begin, end = np.maximum(head - gap, first[doc]), np.minimum(tail + self.size[item] + gap, first[doc + 1])
+            good = self.possible(words, item, begin, end)
+            for d, t, a, b in zip(doc[good].tolist(), item[good].tolist(), begin[good].tolist(), end[good].tolist(), strict=True):
+                w = self.words[t]
                 region = words[a:b]
                 most = int(self.max_error * len(w))
                 # words that the stretch shares with the item bound the distance from below

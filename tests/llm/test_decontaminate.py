@@ -1,7 +1,10 @@
 import random
 import re
 
-from kinetrail.llm.decontaminate import Decontaminate, distance
+import numpy as np
+import pyarrow as pa
+
+from kinetrail.llm.decontaminate import Decontaminate, Items, Walks, distance
 
 
 def words(text):
@@ -67,3 +70,19 @@ def test_edges(spark):
     left = op.clean(docs, bench)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 5, 6]
     assert op.hits(docs.limit(0), bench).count() == 0 and op.clean(docs, bench.limit(0)).count() == 7
+
+
+def test_no_passage_is_missed():
+    """All passages with exactly the allowed substitutions are found, whatever the item's length."""
+    rng = np.random.default_rng(2)
+    for m in (5, 13, 14, 15, 16, 17, 20, 30, 45, 60):
+        items = [[f"w{i}x{j}" for j in range(m)] for i in range(100)]
+        found = Items([(i, " ".join(w)) for i, w in enumerate(items)], 0.3, Walks())
+        for even in (False, True):
+            texts, edits = [], int(0.3 * m)
+            for w in items:
+                places = ((np.arange(edits) + 0.5) * m / edits).astype(int) if even else rng.choice(m, edits, replace=False)
+                body = [f"z{rng.integers(1 << 40)}" if j in places else x for j, x in enumerate(w)]
+                texts.append(" ".join([f"a{rng.integers(1 << 40)}" for _ in range(20)] + body + [f"b{rng.integers(1 << 40)}" for _ in range(20)]))
+            got = {(d, t): e for d, t, e, _ in found.search(pa.array(texts, pa.large_string()))}
+            assert got == {(i, i): edits for i in range(100)}, (m, even)

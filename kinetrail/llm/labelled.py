@@ -21,9 +21,10 @@ def sample(labels: DataFrame, label: str, max_rows: int, held_out: int | None =
 
 
 def texts_of(docs: DataFrame, picked: DataFrame) -> DataFrame:
-    """doc_id, y and the whole text of the picked rows (picked is bounded, so it is broadcast); one text for an id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id")
+    """doc_id, y and the whole text of the picked rows (picked is bounded, so it is broadcast); one text for an id, the smallest that is not null."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    # a hot id leaves one row for each task of the scan
+    return texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def platt(score: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:

@@ -18,12 +18,13 @@ U64 = np.uint64
 @dataclass(frozen=True)
 class Features:
     """Families of hashed n-grams. Tokens are runs of letters and digits or runs of symbols; case is kept. A family's values
-    are its counts as shares of the family's total in the text, times scale."""
+    are its counts as shares of the family's total in the text, times scale. fold_repeats: a word after itself is one bigram, whatever the word."""
 
     word_orders: tuple[int, ...] = (1, 2)
     char_orders: tuple[int, ...] = ()
     bits: int = 18
     scale: float = 30.0
+    fold_repeats: bool = True
 
     @property
     def families(self) -> int:
@@ -47,8 +48,7 @@ class Features:
                 out.append((slot + (family << self.bits), bounds))
             yield lo, hi, out
 
-    @staticmethod
-    def _runs(h: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    def _runs(self, h: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
         if order == 1:
             return h, first
         n = np.maximum(np.diff(first) - order + 1, 0)
@@ -57,7 +57,7 @@ class Features:
         key = np.full(len(at), order, U64)
         for j in range(order):
             key = key * U64(0x9FB21C651E98DF25) + h[at + j]
-        if order == 2:  # a word after itself is one feature, whatever the word
+        if order == 2 and self.fold_repeats:
             key[h[at] == h[at + 1]] = U64(2)
         return key * U64(0x9E3779B97F4A7C15), bounds
 
@@ -101,25 +101,29 @@ class Model:
 
 
 def rows(docs: DataFrame, picked: DataFrame, features: Features) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Feature rows of the picked labelled documents, made on the executors; ordered by id. The number of rows is picked's bound."""
+    """Feature rows of the picked labelled documents, made on the executors; in an order by hashes of the ids. The number of rows is picked's bound. Slots and
+    their counts (in as few bytes as the largest needs) come as Arrow batches; the values follow from them."""
 
     def run(batches):
         for b in batches:
-            idx, val = [], []
+            idx, n = [], []
             for lo, hi, families in features.slots(b.column("text")):
                 for i in range(hi - lo):
-                    slot, value = [], []
-                    for s, bounds in families:
-                        u, n = np.unique(s[bounds[i] : bounds[i + 1]], return_counts=True)
-                        slot.append(u)
-                        value.append(n * (features.scale / max(1, int(bounds[i + 1] - bounds[i]))))
-                    idx.append(np.concatenate(slot).astype(np.int32).tobytes())
-                    val.append(np.concatenate(value).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["doc_id", "y", "idx", "val"])
-
-    found = texts_of(docs, picked).mapInArrow(run, "doc_id long, y int, idx binary, val binary").collect()
-    found.sort(key=lambda r: (_order(r.doc_id), r.doc_id, r.idx))
-    return [(r.doc_id, r.y, np.frombuffer(r.idx, np.int32), np.frombuffer(r.val, np.float32)) for r in found]
+                    found = [np.unique(s[bounds[i] : bounds[i + 1]], return_counts=True) for s, bounds in families]
+                    idx.append(np.concatenate([u for u, _ in found]).astype(np.int32).tobytes())
+                    counts = np.concatenate([c for _, c in found])
+                    n.append(counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(idx, pa.binary()), pa.array(n, pa.binary())], ["doc_id", "y", "idx", "n"])
+
+    out = []
+    for b in texts_of(docs, picked).mapInArrow(run, "doc_id long, y int, idx binary, n binary").toArrow().to_batches():
+        for doc, y, idx, n in zip(*(b.column(c).to_pylist() for c in ("doc_id", "y", "idx", "n")), strict=True):
+            slot = np.frombuffer(idx, np.int32)
+            counts = np.frombuffer(n, f"u{len(n) // max(1, len(slot)) or 1}")
+            family = slot >> features.bits
+            total = np.bincount(family, counts, features.families)
+            out.append((doc, y, slot, (counts * (features.scale / np.maximum(total, 1))[family]).astype(np.float32)))
+    return sorted(out, key=lambda r: (_order(r[0]), r[0]))
 
 
 def _order(i: int) -> int:

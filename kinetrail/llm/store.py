@@ -32,9 +32,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (tests, one machine) a temporary folder of this session."""
+    """spark.checkpoint.dir; only where it is unset and everything runs in one process (tests) a temporary folder of this session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="kinetrail-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -1,8 +1,12 @@
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
+import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from kinetrail.llm import queries as Q, sharding
@@ -109,3 +113,70 @@ def test_write(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "o"))
     assert back.select("doc_id", "text").exceptAll(docs.select("doc_id", "text")).count() == 0 and back.count() == docs.count()
     assert back.select(F.countDistinct("shard")).first()[0] == 4
+
+
+def test_sharding_against_plain_steps(spark):
+    """Shards, buckets, order and Fisher-Yates swaps restated; few cells, so that the buckets need a count of their own."""
+    rows = [(i * 7 - 300, f"text {i} " * (i % 9)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.shard, r.slot, r.grown_shard) for r in Sharding(3, bucket_bytes=700, cells=2).shuffled(df).collect()}
+
+    def h(*parts):
+        x = 42
+        for kind, v in parts:
+            x = xxhash.xxh64(v.encode() if kind == "s" else struct.pack("<" + kind, v), seed=x).intdigest()
+        return x
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    seed = Sharding().seed
+
+    def shard(key, n):
+        return max((signed(h(("i", seed), ("q", key), ("i", i))), i) for i in range(n))[1]
+
+    total = sum(len(t.encode()) + 8 for _, t in rows)
+    buckets = -(-total // (3 * 700))
+    assert buckets > 2
+    by = {}
+    for key, text in rows:
+        x = h(("i", seed + 1), ("q", key), ("s", text))
+        by.setdefault((shard(key, 3), ((x >> 32) * buckets) >> 32), []).append((signed(x), key))
+    want, start = {}, Counter()
+    for (s, b), members in sorted(by.items()):
+        ids = [k for _, k in sorted(members)]
+        draws = np.random.Generator(np.random.PCG64([seed, s, b])).random(len(ids)) * np.arange(1, len(ids) + 1)
+        for i in range(len(ids) - 1, 0, -1):
+            j = int(draws[i])
+            ids[i], ids[j] = ids[j], ids[i]
+        for k in ids:
+            want[k] = (s, start[s], shard(k, 4))
+            start[s] += 1
+    assert got == want
+
+
+def test_one_record_many_times(spark):
+    """A third of all rows alike in id and text: whole, gapless, in one bucket."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise("other").alias("text"))
+    rows = Sharding(4, bucket_bytes=3000).shuffled(df).collect()
+    assert len(rows) == 3000
+    check(rows, 4)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from kinetrail.llm import store
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return self
+
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_dir(Session())

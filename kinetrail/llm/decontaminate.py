@@ -1,11 +1,11 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
 Texts are sequences of words (runs of letters, digits and non-ASCII bytes, A-Z lower-cased). The CGK walk reads a window with one
-pointer: step j emits the word under the pointer and moves on if bit j of that word's random bits says so. Windows at a small edit distance give
-embeddings at a small Hamming distance, as the walks fall into step again after an edit. A repetition hashes a few
-sampled steps of one walk; two windows that agree there are candidates. A window of an item's size begins at every word of a document. The items'
-side enters the table at every word of the item whose sampled steps stay inside it, which makes up for edits near a window's head. An
-alignment becomes a candidate when two of the w * repetitions keys agree on it.
+pointer: step j emits the word under the pointer and moves on if that word's random bit for step j says so (the bits of a word repeat every eight steps). Windows at a small edit
+distance give embeddings at a small Hamming distance, as the walks fall into step again after an edit. Items are dealt into classes of size (powers of two); the sampled steps of a
+class spread over a walk through a window of that size. A repetition hashes the sampled steps of one walk; two windows that agree there are candidates. Windows begin at
+every word of a document. The items' side enters the table at every word of the item whose sampled steps stay inside it, which makes up for edits near a
+window's head. An alignment becomes a candidate when two of the w * repetitions keys agree on it.
 
 The walks miss some passages near the allowed edits, short ones above all. So each item is also cut into one piece more than the edits allowed: at least one
 piece is left whole by any of them, and an alignment by a whole piece is a candidate, too. No passage within the allowed edits is missed. Before verification
@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame, functions as F
 from kinetrail.llm import kernels as K
 
 U64 = np.uint64
-#: Items of one broadcast block; more items take more passes over the documents.
-BLOCK_ITEMS = 20_000
+#: Items and bytes of one broadcast block; more take more passes over the documents. (An item of more bytes is a block of its own or shares one by chance.)
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
+#: Steps after which a word's bits repeat.
+PERIOD = 8
 #: Items of fewer words enter the table by all runs of words of a piece's size, longer ones by their pieces.
 SHORT = 14
 #: Words of candidate stretches that are tested at once.
@@ -69,28 +71,48 @@ def distance(item: list[int], text: list[int]) -> int:
 
 
 class Walks:
-    """Seeded CGK walks with sampled steps."""
+    """Seeded CGK walks with sampled steps for windows of each class of size."""
 
-    def __init__(self, steps: int = 12, samples: int = 5, repetitions: int = 4, seed: int = 1):
-        rng = np.random.default_rng(seed)
-        # the walks' samples begin at step 0 and end late, so that a key spans several words
-        self.samples = [np.unique(np.concatenate([[0], np.sort(rng.choice(np.arange(2, steps), samples - 1, replace=False))])) for _ in range(repetitions)]
-        self.salts = rng.integers(1, 1 << 62, repetitions).astype(np.uint64)
+    def __init__(self, samples: int = 3, repetitions: int = 4, seed: int = 1):
+        self.samples, self.seed = samples, seed
+        self.salts = np.random.default_rng(seed).integers(1, 1 << 62, repetitions).astype(np.uint64)
 
-    def keys(self, words: np.ndarray):
-        """For each repetition: the key of the walk from every word, and the last word that its samples read (relative)."""
+    @staticmethod
+    def size_class(words):
+        """floor(log2) of an item's words; items of fewer than eight share a class."""
+        return np.maximum(np.floor(np.log2(np.maximum(words, 1))).astype(np.int64), 3)
+
+    def steps(self, size: int, repetition: int) -> list[int]:
+        """Sampled steps of a class: the first, one in each further part of a walk that moves through about three quarters of the window."""
+        edges = np.linspace(1, 3 << (size - 1), self.samples).astype(int)
+        rng = np.random.default_rng([self.seed, size, repetition])
+        return [0, *(int(rng.integers(a, b)) for a, b in zip(edges, edges[1:], strict=False))]
+
+    def keys(self, words: np.ndarray, classes: list[int]):
+        """For each repetition and class: class, the key of the walk from every word, and the last word that its samples read (relative). Long walks go by powers of the
+        walk through one period, so a sample costs the logarithm of its step. Behind the last word a walk stands still on an empty word."""
         n = len(words)
-        for samples, salt in zip(self.samples, self.salts, strict=True):
-            last = int(samples[-1])
-            padded = np.concatenate([words, np.zeros(last + 1, U64)])
-            bits = (K.mix(padded ^ salt) & U64(0xFFFF)).astype(np.uint16)
-            at, key = np.arange(n), np.full(n, salt, U64)
-            for j in range(last + 1):
-                if j in samples:
+        padded = np.append(words, U64(0))
+        for r, salt in enumerate(self.salts):
+            bits = (K.mix(padded ^ salt) & U64(0xFF)).astype(np.uint8)
+            bits[n] = 0
+            within = [np.arange(n + 1, dtype=np.int32)]
+            for j in range(PERIOD):
+                within.append(within[j] + ((bits[within[j]] >> j) & 1))
+            powers = [within.pop()]
+            for c in classes:
+                key = np.full(n, int(salt) ^ c, U64)
+                for step in self.steps(c, r):
+                    at, times, level = None, step // PERIOD, 0
+                    while times >> level:
+                        if level == len(powers):
+                            powers.append(powers[-1][powers[-1]])
+                        if times >> level & 1:
+                            at = powers[level][:n] if at is None else powers[level][at]
+                        level += 1
+                    at = within[step % PERIOD][:n] if at is None else within[step % PERIOD][at]
                     key = key * U64(0xC2B2AE3D27D4EB4F) + padded[at]
-                if j < last:
-                    at += (bits[at] >> np.uint16(j)) & np.uint16(1)
-            yield K.mix(key), at - np.arange(n)
+                yield c, K.mix(key), at - np.arange(n, dtype=np.int32)
 
 
 class Items:
@@ -107,8 +129,10 @@ class Items:
         item, at = K.runs(np.diff(first)), np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
         left = np.repeat(np.diff(first), np.diff(first)) - at
         found = []
-        for key, reach in walks.keys(h):
-            ok = reach < left
+        size = Walks.size_class(self.size)
+        self.classes = [int(c) for c in np.unique(size[self.size > 0])]
+        for c, key, reach in walks.keys(h, self.classes):
+            ok = (reach < left) & (size[item] == c)
             found.append((key[ok], item[ok], at[ok]))
         # runs of words, of which one survives the allowed edits
         self.runs = set()
@@ -147,7 +171,7 @@ class Items:
     def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Position, item, the position's place in the item and whether a run of words agrees, for all agreeing keys."""
         at, lo, hi, runs = [], [], [], []
-        streams = [(k, False) for k, _ in self.walks.keys(words)] + [(self.grams(words, s), True) for s in sorted(self.runs)]
+        streams = [(k, False) for _, k, _ in self.walks.keys(words, self.classes)] + [(self.grams(words, s), True) for s in sorted(self.runs)]
         for key, run in streams:
             p = np.flatnonzero(self.bits[(key >> U64(42)).astype(np.int64)])
             a, b = np.searchsorted(self.key, key[p]), np.searchsorted(self.key, key[p], "right")
@@ -156,6 +180,9 @@ class Items:
             lo.append(a[ok])
             hi.append(b[ok])
             runs.append(np.full(ok.sum(), run))
+        if not streams:  # a block without any word
+            none = np.zeros(0, np.int64)
+            return none, none, none, none.astype(bool)
         at, lo, hi, runs = (np.concatenate(x) for x in (at, lo, hi, runs))
         n = hi - lo
         i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
@@ -195,7 +222,7 @@ class Items:
             new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > slack[1:])
             heads = np.flatnonzero(new)
             stops = np.append(heads[1:], len(doc))
-            # an alignment needs two agreeing keys of walks, or a run of words
+            # an alignment needs two agreeing keys of walks, or a piece
             good = (stops - heads > 1) | np.logical_or.reduceat(runs, heads)
             heads, stops = heads[good], stops[good]
             doc, item, head, tail = doc[heads], item[heads], start[heads], start[stops - 1]
@@ -221,7 +248,7 @@ class Decontaminate:
     """Finds benchmark items in documents (hits) and returns the documents without any (clean).
 
     max_error: allowed edits, as a share of an item's words. Null or empty texts and items match nothing; repeated rows each get their
-    hits; extra columns are kept by clean() and ignored by hits(). Ties between stretches of one document go to the first. An
+    hits, repeated items count once; extra columns are kept by clean() and ignored by hits(). Ties between stretches of one document go to the first. An
     empty benchmark leaves all documents. Items are a query set: they are read in blocks of bounded size, each searched in one scan
     of the documents without a shuffle.
     """
@@ -230,8 +257,9 @@ class Decontaminate:
         self.max_error, self.walks = max_error, walks or Walks()
 
     def _blocks(self, benchmark: DataFrame):
-        rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-        n = -(-rows.count() // BLOCK_ITEMS)
+        rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+        count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        n = max(-(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
         for i in range(n):
             block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
             yield benchmark.sparkSession.sparkContext.broadcast(Items(sorted((r.item_id, r.text) for r in block), self.max_error, self.walks))

@@ -12,8 +12,11 @@ reach tau + 1 also gives the signatures of its empty segments; if a probe is in
 
 Lists are not expanded into all pairs. Lists of two are pairs. Every member of a longer list is paired with the list's hub, the member that is in most lists. What passes
 exact verification makes components; more rounds may pair the members of lists in several components with another hub; what
-is still open gives its pairs across components, pruned by a bound that is never wrong (bits of two parity sketches differ at most as often as the sets do).
-Equal sets are one node from the start.
+is still open gives its pairs across components, pruned by a bound that is never wrong (bits of two parity sketches differ at most as often as the sets do); a long open list is
+cut into blocks, and each pair of blocks is a unit of work of its own. Equal sets are one node from the start.
+
+A signature that very many sets share is found by a count over a sample of the sets, which only decides on routing: its list is dealt over several parts of the key space and
+stays one list. Verification sends the smaller party of each pair to its centre, the set with more pairs, whose elements travel once for each part of its pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from kinetrail.llm import kernels as K
 from kinetrail.llm.components import components
@@ -35,6 +38,10 @@ INDEX, PROBE = 1, 2
 SMALL = 24
 #: Needed documents up to this number are broadcast (8 MB of ids); beyond it Spark joins by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Members from which on a signature's list is dealt over parts, the share of the sets (one in so many) that is counted for it, and how many such lists are known at most.
+HEAVY, COUNTED, KNOWN = 200_000, 64, 100_000
+#: Members in a row of a list, in a block of an open list, and pairs of a centre in one part.
+ROW, BLOCK, PAIRS = 50_000, 4_000, 4_000
 _MASK = (1 << 64) - 1
 
 
@@ -201,58 +208,95 @@ def _profile(words: int):
     return run
 
 
-def _pack(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n_parts: int) -> Iterator[pa.RecordBatch]:
+class Heavy:
+    """Signatures with very long lists and the number of parts of each."""
+
+    def __init__(self, keys: list[int], parts: list[int]):
+        order = np.argsort(np.array(keys, np.int64).astype(U64))
+        self.keys, self.parts = np.array(keys, np.int64).astype(U64)[order], np.array(parts, np.int64)[order]
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        """Each key's place in the table, or -1."""
+        if not len(self.keys):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at, -1)
+
+
+def _pack(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n_parts: int, heavy: Heavy) -> Iterator[pa.RecordBatch]:
     key, node, n, role = (np.concatenate(x) for x in zip(*parts, strict=True))
-    part = ((key >> U64(33)) % U64(n_parts)).astype(np.int64)
+    route, at = key, heavy.of(key)
+    some = np.flatnonzero(at >= 0)
+    if len(some):
+        route = key.copy()
+        route[some] = K.mix(key[some] + K.mix(node[some].astype(U64)) % heavy.parts[at[some]].astype(U64))
+    part = ((route >> U64(33)) % U64(n_parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     stops = np.searchsorted(part[order], np.arange(n_parts + 1))
     key, node, n, role = key[order], node[order], n[order], role[order]
-    rows = [i for i in range(n_parts) if stops[i + 1] > stops[i]]
+    rows = np.flatnonzero(np.diff(stops)).tolist()
     cols = [[x[stops[i] : stops[i + 1]].tobytes() for i in rows] for x in (key, node, n.astype(np.uint32), role)]
     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["part", "key", "node", "n", "role"])
 
 
-def _index(words: int, num: int, den: int, n_parts: int):
-    """Texts to signature blocks: one row for each part of the key space and about 10 MB of text."""
+def _signed(column: pa.Array, words: int, s: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, nodes, sizes and roles of the texts' sets, each set once in a range of texts."""
+    for _, h, sizes, ident in _sets(column, words):
+        e, edge = K.mix(h ^ U64(0x5851F42D4C957F2D)), np.concatenate([[0], np.cumsum(sizes)])
+        _, once = np.unique(ident, return_index=True)
+        once = once[sizes[once] > 0]
+        for i in once[sizes[once] < s.low[int(s.band(SMALL + 1))]]:
+            key, role = _signatures(e[edge[i] : edge[i + 1]], int(sizes[i]), s)
+            yield key, np.full(len(key), ident[i]), np.full(len(key), sizes[i]), role
+        large = once[sizes[once] >= s.low[int(s.band(SMALL + 1))]]
+        bands = s.band(sizes[large])
+        for band in np.unique(bands):
+            mine = large[bands == band]
+            step = max(1, 400_000 // max(s.segments(int(band) + 1), int(sizes[mine].max())))
+            for at in range(0, len(mine), step):
+                some = mine[at : at + step]
+                els = np.concatenate([e[edge[i] : edge[i + 1]] for i in some])
+                key, role, owner = _signatures_large(els, sizes[some], s)
+                yield key, ident[some][owner], sizes[some][owner], role
+
+
+def _index(words: int, num: int, den: int, n_parts: int, heavy: Heavy):
+    """Texts to signature blocks: one row for each part of the key space and about 10 MB of text; more where there are many parts, so that rows do not get too short."""
+    most = max(1_000_000, min(64 * n_parts, 6_000_000))
 
     def run(batches):
         s, held, size = Scheme(num, den), [], 0
         for b in batches:
-            for _, h, sizes, ident in _sets(b.column("text"), words):
-                e, edge = K.mix(h ^ U64(0x5851F42D4C957F2D)), np.concatenate([[0], np.cumsum(sizes)])
-                _, once = np.unique(ident, return_index=True)
-                once = once[sizes[once] > 0]
-                for i in once[sizes[once] < s.low[int(s.band(SMALL + 1))]]:
-                    key, role = _signatures(e[edge[i] : edge[i + 1]], int(sizes[i]), s)
-                    held.append((key, np.full(len(key), ident[i]), np.full(len(key), sizes[i]), role))
-                    size += len(key)
-                large = once[sizes[once] >= s.low[int(s.band(SMALL + 1))]]
-                bands = s.band(sizes[large])
-                for band in np.unique(bands):
-                    mine = large[bands == band]
-                    step = max(1, 400_000 // max(s.segments(int(band) + 1), int(sizes[mine].max())))
-                    for at in range(0, len(mine), step):
-                        some = mine[at : at + step]
-                        els = np.concatenate([e[edge[i] : edge[i + 1]] for i in some])
-                        key, role, owner = _signatures_large(els, sizes[some], s)
-                        held.append((key, ident[some][owner], sizes[some][owner], role))
-                        size += len(key)
-                if size > 1_000_000:
-                    yield from _pack(held, n_parts)
+            for found in _signed(b.column("text"), words, s):
+                held.append(found)
+                size += len(found[0])
+                if size > most:
+                    yield from _pack(held, n_parts, heavy)
                     held, size = [], 0
         if held:
-            yield from _pack(held, n_parts)
+            yield from _pack(held, n_parts, heavy)
+
+    return run
+
+
+def _keys(words: int, num: int, den: int):
+    def run(batches):
+        s = Scheme(num, den)
+        for b in batches:
+            for key, node, _, _ in _signed(b.column("text"), words, s):
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(node.astype(np.int64))], ["key", "node"])
 
     return run
 
 
-def _group(key, node, n, role, num: int, den: int) -> tuple:
-    """Of one part's signatures: the pairs of lists of two, and the longer lists."""
+def _group(key, node, n, role, num: int, den: int, heavy: Heavy) -> tuple:
+    """Of one part's signatures: the pairs of lists of two, and the longer lists. The members of a heavy list are a part of it, whatever their roles."""
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     keep = np.zeros(len(key), bool)
     keep[1:] |= same
     keep[:-1] |= same
+    keep |= heavy.of(key[order]) >= 0
     order = order[keep]
     key, node, n, role = key[order], node[order], n[order], role[order]
     if not len(key):
@@ -269,48 +313,50 @@ def _group(key, node, n, role, num: int, den: int) -> tuple:
     start = np.flatnonzero(head)
     count = np.diff(np.append(start, len(key)))
     some = np.bitwise_or.reduceat(role, start)
-    live = (count > 1) & ((some & PROBE) > 0) & ((some & INDEX) > 0)
+    shared = heavy.of(key[start]) >= 0
+    live = ((count > 1) & ((some & PROBE) > 0) & ((some & INDEX) > 0)) | shared
     # a list of two is a pair; entries of a list are in order of size and node
-    first = start[live & (count == 2)]
+    first = start[live & (count == 2) & ~shared]
     first = first[n[first + 1] * num <= n[first] * den]
     pairs = np.unique(np.stack([node[first], node[first + 1]], 1), axis=0) if len(first) else np.zeros((0, 2), U64)
     # longer lists, each once
-    big = live & (count > 2)
+    big = live & ((count > 2) | shared)
     if not big.any():
         return pairs[:, 0], pairs[:, 1], []
     ident = K.mix(np.add.reduceat(K.mix(node * U64(4) + role.astype(U64)), start))
+    ident[shared] = K.mix(key[start][shared])
     _, once = np.unique(ident[big], return_index=True)
     picked = np.flatnonzero(big)[once]
-    lists = [(int(ident[i]) & (_MASK >> 1), *(x[start[i] : start[i] + count[i]].astype(t).tobytes() for x, t in ((node, U64), (n, np.uint32), (role, np.int8)))) for i in picked]
+    lists = []
+    for i in picked:
+        for k, lo in enumerate(range(int(start[i]), int(start[i] + count[i]), ROW)):
+            hi = min(lo + ROW, int(start[i] + count[i]))
+            lists.append((int(ident[i]) & (_MASK >> 1), k, bool(shared[i]), *(x[lo:hi].astype(t).tobytes() for x, t in ((node, U64), (n, np.uint32), (role, np.int8)))))
     return pairs[:, 0], pairs[:, 1], lists
 
 
-def _match(num: int, den: int):
-    """Parts of the key space, in order, to candidate pairs (bucket null) and longer lists, packed."""
-
-    def out(held):
-        cols = [np.frombuffer(b"".join(x), t) for x, t in zip(held, (U64, U64, np.uint32, np.int8), strict=True)]
-        a, b, lists = _group(cols[0], cols[1], cols[2].astype(np.int64), cols[3], num, den)
-        names = ["a", "b", "bucket", "nodes", "sizes", "roles"]
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.nulls(len(a), pa.int64()), *[pa.nulls(len(a), pa.binary())] * 3], names)
-        for lo in range(0, len(lists), 2000):
-            some = list(zip(*lists[lo : lo + 2000], strict=True))
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some[0]), pa.int64())] * 2, pa.array(some[0], pa.int64()), *(pa.array(x, pa.binary()) for x in some[1:])], names)
+def _match(num: int, den: int, heavy: Heavy):
+    """A part of the key space to candidate pairs (bucket null) and rows of longer lists, packed. place: the row's place in its list."""
+    names = ["a", "b", "bucket", "place", "nodes", "sizes", "roles"]
 
     def run(batches):
-        now, held = None, ([], [], [], [])
+        held, part = ([], [], [], []), 0
         for b in batches:
-            part = b.column("part").to_pylist()
-            for i, p in enumerate(part):
-                if p != now and held[0]:
-                    yield from out(held)
-                    held = ([], [], [], [])
-                now = p
+            for i in range(b.num_rows):
+                part = b.column("part")[i].as_py()
                 for x, c in zip(held, ("key", "node", "n", "role"), strict=True):
                     x.append(b.column(c)[i].as_py())
-        if held[0]:
-            yield from out(held)
+        if not held[0]:
+            return
+        cols = [np.frombuffer(b"".join(x), t) for x, t in zip(held, (U64, U64, np.uint32, np.int8), strict=True)]
+        del held
+        a, b, lists = _group(cols[0], cols[1], cols[2].astype(np.int64), cols[3], num, den, heavy)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), *[pa.nulls(len(a), pa.binary())] * 3], names)
+        for lo in range(0, len(lists), 2000):
+            bucket, place, shared, *blobs = zip(*lists[lo : lo + 2000], strict=True)
+            place = [((part + 1) << 32 if many else 0) + k for k, many in zip(place, shared, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(bucket), pa.int64())] * 2, pa.array(bucket, pa.int64()), pa.array(place, pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names)
 
     return run
 
@@ -344,23 +390,29 @@ def _prune(num: int, den: int):
             for i in range(len(na)):
                 bits = min(len(sa[i]), len(sb[i])) * 8
                 ok[i] = np.bitwise_count(_folded(sa[i], bits) ^ _folded(sb[i], bits)).sum() <= most[i]
-            yield b.filter(pa.array(ok)).select(["a", "b", "da", "db", "na", "nb"])
+            yield b.filter(pa.array(ok)).select(["a", "b"])
 
     return run
 
 
 def _verify(num: int, den: int):
+    """Rows in order of centre and part, the centre's own elements first, to the pairs that pass."""
+
     def run(batches):
+        now, mine = None, np.zeros(0, U64)
         for b in batches:
-            xs, ys = b.column("xa"), b.column("xb")
-            ok = np.zeros(len(xs), bool)
-            for i in range(len(xs)):
-                x, y = (np.frombuffer(c[i].as_buffer(), U64) for c in (xs, ys))
-                both = np.concatenate([x, y])
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
-                ok[i] = den * inter >= num * (len(both) - inter)
-            yield b.filter(pa.array(ok)).select(["da", "db"])
+            a, c, ok = b.column("center").to_pylist(), b.column("member").to_pylist(), np.zeros(b.num_rows, bool)
+            part, blobs = b.column("part").to_pylist(), b.column("x")
+            for i in range(b.num_rows):
+                x = np.frombuffer(blobs[i].as_buffer(), U64)
+                if c[i] is None:
+                    now, mine = (a[i], part[i]), x.copy()
+                    continue
+                assert now == (a[i], part[i])
+                at = np.searchsorted(mine, x)
+                inter = int((mine[np.minimum(at, len(mine) - 1)] == x).sum())
+                ok[i] = den * inter >= num * (len(mine) + len(x) - inter)
+            yield b.filter(pa.array(ok)).select(["center", "member"])
 
     return run
 
@@ -368,26 +420,39 @@ def _verify(num: int, den: int):
 def _elements(words: int):
     def run(batches):
         for b in batches:
-            blobs: list[bytes] = []
-            for _, h, sizes, _ in _sets(b.column("text"), words):
+            nodes, blobs = [], []
+            for _, h, sizes, ident in _sets(b.column("text"), words):
                 edge = np.concatenate([[0], np.cumsum(sizes)])
+                nodes.append(ident)
                 blobs += [h[edge[i] : edge[i + 1]].tobytes() for i in range(len(sizes))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).astype(np.int64) if nodes else [], pa.int64()), pa.array(blobs, pa.binary())], ["node", "x"])
+
+    return run
+
+
+def _noded(words: int):
+    """Rows with their set's node as a last column."""
+
+    def run(batches):
+        for b in batches:
+            nodes = [ident for _, _, _, ident in _sets(b.column("text"), words)]
+            yield b.append_column("_node", pa.array(np.concatenate(nodes).astype(np.int64) if nodes else [], pa.int64()))
 
     return run
 
 
 def _across(num: int, den: int):
-    """Members of a list, ordered by list and size, to pairs across components that the sketches allow."""
+    """Members of two blocks of a list (or of one), ordered by list, blocks and size, to pairs across components that the sketches allow."""
 
-    def pairs(rows):
-        node, comp, n, role = (np.array(x) for x in list(zip(*rows, strict=True))[:4])
-        bits = 8 * min(len(r[4]) for r in rows)
+    def pairs(unit, rows):
+        node, comp, n, role, block = (np.array(x) for x in list(zip(*rows, strict=True))[:5])
+        bits = 8 * min(len(r[5]) for r in rows)
         # one sketch size for the list: its sizes lie within two bands, so this folds once at most
-        sketch = np.stack([_folded(r[4], bits) for r in rows]).view(U64)
+        sketch = np.stack([_folded(r[5], bits) for r in rows]).view(U64)
+        cross = unit[1] != unit[2]
         for i in np.flatnonzero(role & PROBE):
             j = np.arange(i + 1, int(np.searchsorted(n, n[i] * den // num, "right")))
-            j = j[(comp[j] != comp[i]) & (role[j] & INDEX > 0)]
+            j = j[(comp[j] != comp[i]) & (role[j] & INDEX > 0) & (not cross or block[j] != block[i])]
             for lo in range(0, len(j), 20_000):
                 k = j[lo : lo + 20_000]
                 apart = np.bitwise_count(sketch[k] ^ sketch[i]).sum(1, dtype=np.int64)
@@ -398,14 +463,14 @@ def _across(num: int, den: int):
     def run(batches):
         now, rows = None, []
         for t in batches:
-            for bucket, *row in zip(*(t.column(c).to_pylist() for c in ("bucket", "node", "comp", "n", "role", "sketch")), strict=True):
-                if bucket != now and rows:
-                    yield from pairs(rows)
+            for bucket, lo, hi, *row in zip(*(t.column(c).to_pylist() for c in ("bucket", "lo", "hi", "node", "comp", "n", "role", "block", "sketch")), strict=True):
+                if (bucket, lo, hi) != now and rows:
+                    yield from pairs(now, rows)
                     rows = []
-                now = bucket
+                now = (bucket, lo, hi)
                 rows.append(row)
         if rows:
-            yield from pairs(rows)
+            yield from pairs(now, rows)
 
     return run
 
@@ -415,31 +480,46 @@ class JaccardJoin:
 
     similar(docs) returns a row per document: doc_id, n_shingles, component_id, n_links (verified links of its set to other
     sets that the join followed). Null text is empty; an empty set links with nothing and is its own component. Words compare with A-Z
-    lower-cased. Repeated rows and equal texts share a node; rows that share an id are taken to share the text. A row whose doc_id is null keeps its row; it takes the component of its set. Extra
-    columns are ignored, so clashing names do no harm. Sets are compared by 64-bit shingle hashes. An empty table gives an empty result.
+    lower-cased. Repeated rows and equal texts share a node; rows that share an id but not the text are linked each by its own text. A row whose doc_id is null keeps its row; it takes
+    the component of its set. Extra columns are ignored, so clashing names do no harm. Sets are compared by 64-bit shingle hashes. An empty table gives an empty result.
+    heavy, block, pairs: sizes from which on a list, an open list and a centre's pairs are cut; they change no result.
     """
 
-    def __init__(self, words: int = 5, num: int = 75, den: int = 100, rounds: int = 1):
+    def __init__(self, words: int = 5, num: int = 75, den: int = 100, rounds: int = 1, heavy: int = HEAVY, counted: int = COUNTED, block: int = BLOCK, pairs: int = PAIRS):
         self.words, self.num, self.den, self.rounds = words, num, den, rounds
+        self.heavy, self.counted, self.block, self.pairs = heavy, counted, block, pairs
 
     def similar(self, docs: DataFrame) -> DataFrame:
+        return self._found(docs).select("doc_id", "n_shingles", "component_id", "n_links")
+
+    def _heavy(self, docs: DataFrame, sets: int) -> Heavy:
+        """Signatures of at least heavy sets, by a count over a part of the texts. A list is never longer than there are sets."""
+        if sets < self.heavy:
+            return Heavy([], [])
+        some = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(self.counted)) == 0))
+        counts = some.mapInArrow(_keys(self.words, self.num, self.den), "key long, node long").distinct().groupBy("key").agg((F.count("*") * self.counted).alias("n"))
+        found = counts.where(F.col("n") >= self.heavy).orderBy(F.desc("n"), "key").limit(KNOWN).collect()
+        return Heavy([r.key for r in found], [-(-r.n // self.heavy) + 1 for r in found])
+
+    def _found(self, docs: DataFrame) -> DataFrame:
         spark = docs.sparkSession
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         profile = written(docs.mapInArrow(_profile(self.words), "doc_id long, n_shingles long, node long, sketch binary"), "profile")
         slim = profile.select("doc_id", "n_shingles", "node")
         nodes = written(profile.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x")).select("node", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.sketch").alias("sketch")), "nodes")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((profile.agg(F.sum("n_shingles")).first()[0] or 0) // 4_000_000) + 1)
-        signed = docs.where("text is not null").mapInArrow(_index(self.words, self.num, self.den, 4 * parts), "part int, key binary, node binary, n binary, role binary")
-        schema = "a long, b long, bucket long, nodes binary, sizes binary, roles binary"
-        found = written(signed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_match(self.num, self.den), schema), "found")
+        heavy = self._heavy(docs, nodes.count())
+        signed = docs.where("text is not null").mapInArrow(_index(self.words, self.num, self.den, parts, heavy), "part int, key binary, node binary, n binary, role binary")
+        schema = "a long, b long, bucket long, place long, nodes binary, sizes binary, roles binary"
+        found = written(signed.repartitionById(parts, "part").mapInArrow(_match(self.num, self.den, heavy), schema), "found")
         tried = found.where("bucket is null").select("a", "b").distinct()
         links = written(self._links(docs, tried, nodes), "links")
         comp = components(links)
-        packed = found.where("bucket is not null").select("bucket", "nodes", "sizes", "roles").dropDuplicates(["bucket"])
+        packed = found.where("bucket is not null").select("bucket", "place", "nodes", "sizes", "roles").dropDuplicates(["bucket", "place"])
         rest = written(packed.mapInArrow(_members, "bucket long, node long, n int, role int"), "lists")
         rest = rest.join(rest.groupBy("node").agg(F.count("*").alias("degree")), "node")
         for step in range(self.rounds + 1):
-            rest = self._open(rest, nodes, comp)
+            rest = self._open(rest, comp)
             if rest.isEmpty():
                 break
             last = step == self.rounds
@@ -451,31 +531,44 @@ class JaccardJoin:
             links = links.unionByName(new)
             comp = components(links)
             tried = tried.unionByName(more)
-        of = nodes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
-        of = of.join(degree, "rep", "left").select("node", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-        full = slim.where("n_shingles > 0").join(of, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-        empty = slim.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        of = comp.withColumnRenamed("id", "node").join(nodes.select("node", "rep"), "node")
+        least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
+        degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+        linked = of.join(least, "component").join(degree, "node").select("node", "component_id", "n_links")
+        alone = nodes.join(linked, "node", "left_anti").select("node", F.col("rep").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        full = slim.where("n_shingles > 0").join(linked.unionByName(alone), "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        empty = slim.where("n_shingles = 0").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
         return full.unionByName(empty)
 
     def first_of_each(self, docs: DataFrame) -> DataFrame:
-        """The rows of docs whose id is the smallest of its component, one for each id; rows without an id stay."""
-        found = self.similar(docs).select("doc_id", "component_id")
+        """The rows of docs whose id is the smallest of its component, one for each id; rows without an id stay. Of rows that share an id but not the text,
+        those whose text belongs to an earlier document go first."""
+        found = written(self._found(docs).select("doc_id", "node", "component_id"), "components")
         # only ids of components of several documents go; a slim anti join spares those that keep to themselves
-        gone = written(found.where("doc_id > component_id").select("doc_id").distinct(), "gone")
-        if gone.count() <= BROADCAST_ROWS:
-            gone = F.broadcast(gone)
-        left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-        twice = written(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-        if twice.isEmpty():
+        ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
+        ids = written(ids.where("lo < doc_id or n > 1"), "ids")
+        gone, mixed, twice = ids.where("hi < doc_id").select("doc_id"), ids.where("lo < doc_id and hi = doc_id").select("doc_id"), ids.where("lo = doc_id").select("doc_id")
+        left = docs.join(self._bounded(gone), "doc_id", "left_anti").select(docs.columns)
+        again = ids.where("hi = doc_id").select("doc_id")
+        if again.isEmpty():
             return left
-        again = left.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-        return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again)
+        alone = left.join(self._bounded(again), "doc_id", "left_anti").select(docs.columns)
+        out = alone.unionByName(left.join(self._bounded(twice), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        if mixed.isEmpty():
+            return out
+        stay = found.where("doc_id = component_id").join(mixed, "doc_id", "left_semi").select("doc_id", F.col("node").alias("_node")).distinct()
+        schema = T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())])
+        some = left.join(self._bounded(mixed), "doc_id", "left_semi").select(docs.columns).mapInArrow(_noded(self.words), schema)
+        return out.unionByName(some.join(stay, ["doc_id", "_node"], "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+    @staticmethod
+    def _bounded(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
     @staticmethod
-    def _open(lists: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    def _open(lists: DataFrame, comp: DataFrame) -> DataFrame:
         """Lists whose members lie in several components, with each member's; a set without links is a component of its own (a negative number)."""
-        of = comp.select(F.col("id").alias("rep"), F.col("component").alias("comp")).join(nodes.select("rep", "node"), "rep").select("node", "comp")
+        of = comp.select(F.col("id").alias("node"), F.col("component").alias("comp"))
         member = lists.drop("comp").join(of, "node", "left").withColumn("comp", F.coalesce("comp", -F.col("node") - 1)).select("bucket", "node", "n", "degree", "role", "comp")
         member = written(member, "members")
         open_ = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
@@ -491,21 +584,33 @@ class JaccardJoin:
         return pairs.select(F.when(first, F.col("node")).otherwise(F.col("hub.node")).alias("a"), F.when(first, F.col("hub.node")).otherwise(F.col("node")).alias("b"))
 
     def _exhaustive(self, rest: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
-        """All that is left: pairs of a list across components whose sketches allow a link."""
-        rest = rest.select("bucket", "node", "comp", "n", "role").join(nodes.select("node", "sketch"), "node")
-        rest = rest.repartition(parts, "bucket").sortWithinPartitions("bucket", "n", "node")
-        return rest.select("bucket", "node", "comp", "n", "role", "sketch").mapInArrow(_across(self.num, self.den), "a long, b long")
+        """All that is left: pairs of a list across components whose sketches allow a link. A list of several blocks gives a unit for each two of them."""
+        blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / self.block).cast("int").alias("blocks"))
+        rest = rest.select("bucket", "node", "comp", "n", "role").join(blocks, "bucket").join(nodes.select("node", "sketch"), "node")
+        rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rest = rest.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+        rest = rest.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n", "node")
+        return rest.select("bucket", "lo", "hi", "node", "comp", "n", "role", "block", "sketch").mapInArrow(_across(self.num, self.den), "a long, b long")
 
     def _links(self, docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs whose sets pass the threshold, as documents a > b."""
-        left = nodes.select(F.col("node").alias("a"), F.col("rep").alias("da"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        right = nodes.select(F.col("node").alias("b"), F.col("rep").alias("db"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        kept = written(pairs.join(left, "a").join(right, "b").mapInArrow(_prune(self.num, self.den), "a long, b long, da long, db long, na long, nb long").select("da", "db"), "pairs")
-        need = kept.select(F.col("da").alias("doc_id")).union(kept.select("db")).distinct()
-        count = need.count()
-        if count <= BROADCAST_ROWS:
-            need = F.broadcast(need)
-        sets = written(docs.join(need, "doc_id", "left_semi").mapInArrow(_elements(self.words), "doc_id long, x binary").dropDuplicates(["doc_id"]), "sets")
-        a, b = sets.select(F.col("doc_id").alias("da"), F.col("x").alias("xa")), sets.select(F.col("doc_id").alias("db"), F.col("x").alias("xb"))
-        good = kept.join(a, "da").join(b, "db").select("da", "db", "xa", "xb").mapInArrow(_verify(self.num, self.den), "da long, db long")
-        return good.select(F.greatest("da", "db").alias("a"), F.least("da", "db").alias("b"))
+        """The pairs whose sets pass the threshold, as nodes a > b."""
+        left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        kept = written(pairs.join(left, "a").join(right, "b").mapInArrow(_prune(self.num, self.den), "a long, b long"), "pairs")
+        degree = kept.select(F.col("a").alias("node")).union(kept.select("b")).groupBy("node").agg(F.count("*").alias("d"))
+        need = written(degree.join(nodes.select("node", "rep"), "node"), "need")
+        ids, of = need.select(F.col("rep").alias("doc_id")).distinct(), need.select("node", "d")
+        if need.count() <= BROADCAST_ROWS:
+            ids, of = F.broadcast(ids), F.broadcast(of)
+        # rows that share an id may have other texts
+        sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_elements(self.words), "node long, x binary").join(of.select("node"), "node", "left_semi")
+        sets = written(sets.dropDuplicates(["node"]), "sets")
+        both = kept.join(of.select(F.col("node").alias("a"), F.col("d").alias("da")), "a").join(of.select(F.col("node").alias("b"), F.col("d").alias("db")), "b")
+        a_first = F.col("da") >= F.col("db")
+        both = both.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("center"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("member"), F.greatest("da", "db").alias("d"))
+        both = both.select("center", F.pmod(F.xxhash64("member"), F.ceil(F.col("d") / self.pairs)).cast("int").alias("part"), "member")
+        member = both.join(sets.withColumnRenamed("node", "member"), "member").select("center", "part", "member", "x")
+        center = both.select("center", "part").distinct().join(sets.withColumnRenamed("node", "center"), "center").select("center", "part", F.lit(None).cast("long").alias("member"), "x")
+        units = member.unionByName(center).repartition("center", "part").sortWithinPartitions("center", "part", "member")  # null comes first
+        good = units.mapInArrow(_verify(self.num, self.den), "center long, member long")
+        return good.select(F.greatest("center", "member").alias("a"), F.least("center", "member").alias("b"))

@@ -39,3 +39,40 @@ def test_edges(spark):
     assert JaccardJoin().similar(df.limit(0)).count() == 0
     twice = JaccardJoin().similar(df.union(df).drop("node"))
     assert twice.count() == 16 and rows(twice) == got
+
+
+def edited(rng, n, size):
+    """Texts made from one by a few edits, many of them linked only through others, and texts that share words but no link."""
+    base = [f"b{rng.randrange(10**6)}" for _ in range(size)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(0, 1 + size // 14)):
+            w[rng.randrange(size)] = f"e{i}x{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_cut_lists_change_nothing(spark):
+    """Heavy signatures dealt over parts, open lists in blocks and centres in parts, all from a few members on: the result of brute force."""
+    rng = random.Random(11)
+    texts = [t for size in (12, 30, 90, 200) for _ in range(2) for t in edited(rng, 60, size)]
+    common = [f"c{i}" for i in range(40)]
+    texts += [" ".join(common + [f"o{i}x{j}" for j in range(30)]) for i in range(60)]
+    docs = list(enumerate(texts))
+    want = jaccard_components(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    for join in (JaccardJoin(heavy=5, counted=1, block=7, pairs=3), JaccardJoin(heavy=5, counted=2, block=1000), JaccardJoin(rounds=0, block=5), JaccardJoin()):
+        assert rows(join.similar(df)) == want
+
+
+def test_ids_shared_by_different_texts(spark):
+    rng = random.Random(3)
+    a, b, c = ([f"{x}{rng.randrange(10**6)}" for _ in range(40)] for x in "abc")
+    near = [*b[:-1], "other"]
+    data = [(1, a), (2, a), (2, b), (3, near), (3, near), (4, c), (4, c), (5, near), (6, c), (6, a)]
+    df = spark.createDataFrame([(i, " ".join(w), k) for k, (i, w) in enumerate(data)], "doc_id long, text string, node int")
+    got = sorted((r.doc_id, r.component_id) for r in JaccardJoin().similar(df).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 2), (3, 2), (4, 4), (4, 4), (5, 2), (6, 1), (6, 4)]
+    kept = JaccardJoin().first_of_each(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.text[0]) for r in kept.collect()) == [(1, "a"), (2, "b"), (4, "c")]

@@ -78,3 +78,16 @@ def quaternion_to_euler(x: Column, y: Column, z: Column, w: Column) -> Column:
     roll = F.atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y))
     pitch = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * (w * y - z * x))))
     return F.array(roll, pitch, F.atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z)))
+
+
+def applied(m: Column, v: Column) -> Column:
+    """A 3 x 3 matrix in an array of nine times a vector of three."""
+    return F.array(*(m[3 * i] * v[0] + m[3 * i + 1] * v[1] + m[3 * i + 2] * v[2] for i in range(3)))
+
+
+def in_wrist_frame(velocity: Column, pose: Column) -> Column:
+    """A velocity (three of translation, three Euler angles) in the base's frame, seen from a wrist of this pose (position, Euler angles): nine numbers, the turned
+    translation and the first two rows of the rotation between the wrist's frame before and after."""
+    turn = euler_to_matrix(pose[3], pose[4], pose[5])
+    change = product(transposed(turn), product(euler_to_matrix(velocity[3], velocity[4], velocity[5]), turn))
+    return F.concat(applied(transposed(turn), velocity), matrix_to_rot6d(change))

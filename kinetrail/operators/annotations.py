@@ -26,8 +26,10 @@ def goal_frames(keys: DataFrame, by: str, key: str, fps: float, length: str) ->
 
 def label_frames(frames: DataFrame, segments: DataFrame, by: str, default: str) -> DataFrame:
     """Range join of frames with segments [start, stop] (by, seg, start, stop, label): the last segment wins, gaps carry the label forward. Segments become
-    rows of their frames, so the join is an equi join; a segment's rows are its own frames."""
-    rows = segments.select(by, "seg", "label", F.explode(F.sequence("start", "stop")).alias("t"))
+    rows of their frames, cut to the frames that the episode has, so the join is an equi join."""
+    ends = frames.groupBy(by).agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
+    cut = segments.join(ends, by).withColumn("_a", F.greatest("start", "_first").cast("long")).withColumn("_z", F.least("stop", "_last").cast("long")).where("_a <= _z")
+    rows = cut.select(by, "seg", "label", F.explode(F.sequence("_a", "_z")).alias("t"))
     best = rows.groupBy(by, "t").agg(F.max(F.struct("seg", "label")).alias("b")).select(by, "t", F.col("b.label").alias("hit"))
     w = Window.partitionBy(by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     return frames.join(best, [by, "t"], "left").withColumn("label", F.coalesce(F.last("hit", ignorenulls=True).over(w), F.lit(default))).drop("hit")

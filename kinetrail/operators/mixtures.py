@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -109,3 +110,60 @@ def frame_number(path: Column) -> Column:
 
 def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def _ranges(n: int, frames: Column) -> Column:
+    """First and last frame of each of n intervals between cut even points, of at most as many as there are frames."""
+    m = F.least(F.lit(n), frames)
+    cut = lambda i: F.floor(i * frames.cast("double") / m).cast("int")
+    return F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.struct(cut(i).alias("a"), (cut(i + 1) - 1).alias("z")))
+
+
+def _padded(got: Column, n: int) -> Column:
+    return F.concat(got, F.array_repeat(F.element_at(got, -1), F.greatest(F.lit(n) - F.size(got), F.lit(0))))
+
+
+def from_start(n: int, frames: Column, offset: int) -> Column:
+    """The frame offset after the first of each of n intervals; shorter videos repeat their last index."""
+    return _padded(F.transform(_ranges(n, frames), lambda r: r["a"] + offset), n)
+
+
+def at_random(n: int, frames: Column, draw: Callable[[Column], Column]) -> Column:
+    """A drawn frame of each of n intervals, their last frames excepted. If an interval has one frame only, all come from a draw without replacement, in order. draw(i) gives a
+    non-negative long for i; shorter videos repeat their last index."""
+    ranges = _ranges(n, frames)
+    inside = F.transform(ranges, lambda r, i: (r["a"] + F.pmod(draw(i), (r["z"] - r["a"]).cast("long"))).cast("int"))
+    order = F.sort_array(F.transform(F.sequence(F.lit(0), frames - 1), lambda i: F.struct(draw(i + n).alias("u"), i.alias("i"))))
+    loose = F.array_sort(F.transform(F.slice(order, F.lit(1), F.least(F.lit(n), frames)), lambda x: x["i"].cast("int")))
+    return _padded(F.when(F.exists(ranges, lambda r: r["z"] <= r["a"]), loose).otherwise(inside), n)
+
+
+def clipped(indices: Column, start: Column, fps: Column) -> Column:
+    """Indices inside a clip that begins at start seconds, as indices of the whole video."""
+    return F.transform(indices, lambda i: (i + F.floor(start * fps)).cast("int"))
+
+
+def clip_length(start: Column, stop: Column, fps: Column) -> Column:
+    return F.floor((stop - start) * fps).cast("int")
+
+
+def repeated_to(paths: DataFrame, by: str, path: str, n: int) -> DataFrame:
+    """n paths of each directory: its list in order, from the start again as often as needed (k: which time)."""
+    w = Window.partitionBy(by)
+    df = paths.withColumn("_r", F.row_number().over(w.orderBy(path))).withColumn("_n", F.count("*").over(w))
+    df = df.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"{n}L div _n"))))
+    return df.where(F.col("k") * F.col("_n") + F.col("_r") <= n).drop("_r", "_n")
+
+
+def numbered_by(df: DataFrame, key: str, *ties: str, parts: int = 200) -> DataFrame:
+    """Adds pos, the 1-based place in the order of a numeric key, without one task for all rows: ranges between approximate quantiles of the key are numbered each by
+    itself, after the rows of the ranges before. The edges change the ranges, not the places."""
+    edges = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.001)))
+    part = F.lit(0)
+    if edges:
+        part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(key)))
+    df = df.withColumn("_part", part)
+    counts = df.groupBy("_part").agg(F.count("*").alias("_n"))
+    base = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # at most parts rows
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key, *ties))
+    return df.join(F.broadcast(base), "_part").withColumn("pos", (inside + F.col("_base")).cast("long")).drop("_part", "_base")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections import deque
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ELEMENT = "struct<turn:bigint,pos:int,sub:int,type:string,has_loss:int,text:string,ref:int>"
@@ -102,13 +106,13 @@ def packs_with_buffer(samples: DataFrame, shard: str, order: str, size: str, exp
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        out, open_, held, cur, batch = [], [], [], 0, 0
+        out, open_, held, cur, batch = [], [], deque(), 0, 0
         fresh = list(zip(pdf[order], pdf[size], strict=True))
         at = 0
         while True:
             buffered = cur < prefer and bool(held)
             if buffered:
-                sample, n = held.pop(0)
+                sample, n = held.popleft()
             elif at < len(fresh):
                 sample, n = fresh[at]
                 at += 1
@@ -161,3 +165,135 @@ def attended(items: DataFrame, sample: str, order: str) -> DataFrame:
 def loss_weight(n: Column, kind: Column) -> Column:
     """0 for no tokens; token: 1, sample: 1 / n, square: 1 / sqrt(n); anything else is an error."""
     return F.when(n == 0, 0.0).when(kind == "token", 1.0).when(kind == "sample", 1.0 / n).when(kind == "square", 1.0 / F.sqrt(n.cast("double"))).otherwise(F.raise_error(F.lit("unknown loss reduction")).cast("double"))
+
+
+def loss_tokens(items: DataFrame, batch: list[str], kind: str) -> DataFrame:
+    """Adds token, the place in its batch of each token that a loss reads: ce, all but the last of a text with loss (it predicts the next one); mse, all of an image with
+    loss; l1, all of an action with loss. items: from offsets()."""
+    kinds = {"ce": ("text",), "mse": ("vae_image", "image", "goal_image"), "l1": ("action",)}
+    some = items.where(F.col("type").isin(*kinds[kind]) & (F.col("loss") == 1) & (F.col("n_tokens") > int(kind == "ce")))
+    last = F.col("start") + F.col("n_tokens") - (2 if kind == "ce" else 1)
+    return some.withColumn("token", F.explode(F.sequence(F.col("start").cast("long"), last.cast("long"))))
+
+
+def _unit(*parts: int) -> float:
+    """A draw in [0, 1) that depends on its numbers only."""
+    x = 0x9E3779B97F4A7C15
+    for p in parts:
+        x = (x ^ (p & (1 << 64) - 1)) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        x = (x ^ x >> 29) * 0x94D049BB133111EB & (1 << 64) - 1
+        x ^= x >> 32
+    return (x >> 11) / (1 << 53)
+
+
+@dataclass(frozen=True)
+class Group:
+    """A group of samples for the packer: its share of the draws, and whether every batch begins with one of its samples."""
+
+    name: str
+    weight: float
+    mandatory: bool = False
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Tokens from which on a batch is given out, at most in a batch and in a sample; a batch shorter than prefer takes buffered samples first, of which there are at most buffer."""
+
+    expected: int
+    most: int
+    per_sample: int
+    prefer: int = 0
+    buffer: int = 0
+
+
+class GroupPacker:
+    """Batches from endless groups of samples.
+
+    A batch begins with one sample of each mandatory group. Then a sample comes from the buffer (while the batch is shorter than ``prefer``) or from a group drawn by weight; draws depend on
+    seed, shard and their number, so a run is repeatable. Samples of more than per_sample tokens are skipped (of a mandatory group: of so many or more). One that would overflow is buffered
+    if it is fresh and there is room, else the batch is given out and the sample is lost. A group that ends begins again.
+    """
+
+    def __init__(self, groups: list[Group], limits: Limits, seed: int = 0):
+        total = sum(g.weight for g in groups)
+        if total <= 0:
+            raise ValueError("the groups' weights must sum to more than 0")
+        self.groups, self.limits, self.seed = groups, limits, seed
+        self.edges = [sum(g.weight for g in groups[: i + 1]) / total for i in range(len(groups))]
+
+    def batches(self, shard: int, samples: dict[str, list[tuple[int, int]]], n: int, at: dict | None = None):
+        """n batches, each a list of (group, sample, tokens), with the state after it: {"draws", "places", "buffer"}. at: the state to go on from."""
+        limits, at = self.limits, at or {}
+        draws, places, held = at.get("draws", 0), dict(at.get("places", {})), deque(tuple(x) for x in at.get("buffer", ()))
+        for g in self.groups:
+            sizes = [s for _, s in samples.get(g.name, ())]
+            fits = any(s < limits.per_sample if g.mandatory else s <= limits.per_sample for s in sizes)
+            if (g.weight or g.mandatory) and not fits:
+                raise ValueError(f"no sample of {g.name} fits")
+
+        def ahead(group: str) -> tuple[str, int, int]:
+            place = places.get(group, 0)
+            places[group] = place + 1
+            return (group, *samples[group][place % len(samples[group])])
+
+        open_: list[tuple[str, int, int]] = []
+        size = 0
+
+        def given():
+            return list(open_), {"draws": draws, "places": dict(places), "buffer": list(held)}
+
+        while n:
+            if not size:
+                for g in self.groups:
+                    while g.mandatory:
+                        x = ahead(g.name)
+                        if x[2] < limits.per_sample:
+                            open_.append(x)
+                            size += x[2]
+                            break
+            buffered = size < limits.prefer and bool(held)
+            if buffered:
+                x = held.popleft()
+            else:
+                u = _unit(self.seed, shard, draws)
+                draws += 1
+                x = ahead(self.groups[next((i for i, e in enumerate(self.edges) if u < e), 0)].name)
+            if x[2] > limits.per_sample:
+                continue
+            if size + x[2] > limits.most:
+                if len(held) < limits.buffer and not buffered:
+                    held.append(x)
+                    continue
+            else:
+                open_.append(x)
+                size += x[2]
+                if size < limits.expected:
+                    continue
+            yield given()
+            open_, size, n = [], 0, n - 1
+
+    def packed(self, samples: DataFrame, shard: str, group: str, order: str, size: str, n: int, states: dict[int, dict] | None = None) -> DataFrame:
+        """n batches of each shard: (shard, batch, pos, group, sample, size, state); state (JSON) stands at a batch's last sample. A shard's ids and sizes fit a task; shards are the unit of
+        parallelism. states: by shard, to go on from."""
+        import pandas as pd
+
+        packer, states = self, states or {}
+
+        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(order)
+            mine = int(pdf[shard].iloc[0])
+            by = {g: list(zip(x[order].tolist(), x[size].tolist(), strict=True)) for g, x in pdf.groupby(group)}
+            rows = []
+            for b, (batch, state) in enumerate(packer.batches(mine, by, n, states.get(mine))):
+                rows += [(mine, b, i, *x, json.dumps(state) if i == len(batch) - 1 else None) for i, x in enumerate(batch)]
+            return pd.DataFrame(rows, columns=["shard", "batch", "pos", "group", "sample", "size", "state"])
+
+        some = samples.select(F.col(shard).cast("long").alias(shard), F.col(group).cast("string").alias(group), F.col(order).cast("long").alias(order), F.col(size).cast("long").alias(size))
+        return some.groupBy(shard).applyInPandas(pack, "shard long, batch int, pos int, group string, sample long, size long, state string")
+
+
+def groups_of(recipe: dict[str, dict]) -> list[Group]:
+    """The groups of a mixture recipe (sources.readers.recipe), in its order."""
+    if missing := [name for name, x in recipe.items() if not x.get("dataset_names")]:
+        raise ValueError(f"groups without dataset_names: {missing}")
+    return [Group(name, float(x.get("weight") or 0.0), bool(x.get("is_mandatory"))) for name, x in recipe.items()]

@@ -1,19 +1,22 @@
 """Standardisation of source datasets as data: an action is a list of parts, built by one function.
 
 A part names a column of the source and what to take of it:
-  take(column, start, stop)   elements start..stop (Python slices, negative from the end)
+  take(column, start, stop)   elements start..stop (Python slices, negative from the end); a scalar counts as an array of one
   clip, invert, cast          changes of the part's values: clip to [0, 1], 1 - x, boolean to number
   zeros(n), ones(n), like     padding
   binarize, relative          gripper clean-ups over the trajectory (need the step window)
+A part of the action looks for its column on the action's side first, a part of a state on the observation's: as a field of a struct so named, else with the
+side as a prefix (action_x, observation_x), else under its own name. So one name may serve both sides.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from kinetrail.operators import stats, windows
+from kinetrail.operators.registry import TRANSFORMS
 
 
 @dataclass(frozen=True)
@@ -127,12 +130,28 @@ def sliced(column: Column, start: int | None, stop: int | None) -> Column:
     return F.slice(column, a + 1, F.greatest(b - a, F.lit(0)))
 
 
-def built(part: Part, by: str) -> Column:
+def found(df: DataFrame, column: str, side: str) -> Column:
+    """The column of a side as an array of doubles."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    for s in (side, "observation" if side == "action" else "action"):
+        if isinstance(types.get(s), T.StructType) and column in types[s].names:
+            x, kind = F.col(s)[column], types[s][column].dataType
+        elif f"{s}_{column}" in types:
+            x, kind = F.col(f"{s}_{column}"), types[f"{s}_{column}"]
+        elif s == side and column in types and not isinstance(types[column], T.StructType):
+            x, kind = F.col(column), types[column]
+        else:
+            continue
+        return x.cast("array<double>") if isinstance(kind, T.ArrayType) else F.array(x.cast("double"))
+    raise ValueError(f"no column {column} for the {side}; there are {', '.join(types)}")
+
+
+def built(df: DataFrame, part: Part, side: str) -> Column:
     if part.op in ("zeros", "ones"):
         return F.array_repeat(F.lit(0.0 if part.op == "zeros" else 1.0), part.n)
     if part.op in ("binarize", "relative"):
         return F.array(F.col(f"_{part.op}_{part.column}"))
-    x = F.transform(sliced(F.col(part.column), part.start, part.stop), lambda v: v.cast("double"))
+    x = sliced(found(df, part.column, side), part.start, part.stop)
     if part.op == "euler":
         from kinetrail.functions.actions import quaternion_to_euler
 
@@ -142,18 +161,22 @@ def built(part: Part, by: str) -> Column:
     return F.transform(x, lambda v: 1 - v) if "invert" in part.op else x
 
 
-def standardize(df: DataFrame, spec: Spec, by: str = "traj") -> DataFrame:
-    """Rows (by, t, source columns) to the same with a standard action and the spec's states."""
+def standardize(df: DataFrame, spec: Spec | str, by: str = "traj") -> DataFrame:
+    """Rows (by, t, source columns) to the same with a standard action and the spec's states. spec may be a registered dataset's name."""
+    if isinstance(spec, str):
+        spec = SPECS[TRANSFORMS.get(spec, spec)]
     if spec.drop:
         df = stats.drop_first(df)
     for part in spec.action:
         if part.op in ("binarize", "relative"):
-            df = df.withColumn("_g", F.element_at(part.column, -1).cast("double"))
+            df = df.withColumn("_g", F.element_at(found(df, part.column, "action"), -1))
             df = df.withColumn(f"_{part.op}_{part.column}", windows.binarize_gripper("_g", by) if part.op == "binarize" else windows.relative_to_absolute("_g", by))
-    new = {name: F.concat(*(built(p, by) for p in parts)) for name, parts in (("action", spec.action), *spec.state)}
-    df = df.withColumns(new)
+    new = {name: F.concat(*(built(df, p, "observation" if i else "action") for p in parts)) for i, (name, parts) in enumerate((("action", spec.action), *spec.state))}
+    if spec.relabel:
+        new["_relabel"] = found(df, spec.relabel, "observation")
     if spec.language:
-        df = df.withColumn("language_instruction", F.col(spec.language))
+        new["language_instruction"] = F.col(spec.language) if spec.language in df.columns else F.col("observation")[spec.language]
+    df = df.withColumns(new)
     if spec.relabel:
-        df = stats.relabel_from_state(df, "action", spec.relabel, 6, by)
+        df = stats.relabel_from_state(df, "action", "_relabel", 6, by)
     return df.drop(*(c for c in df.columns if c.startswith("_")))

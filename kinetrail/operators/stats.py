@@ -24,10 +24,11 @@ def small(df: DataFrame, rows: int = MAX_DATASETS) -> DataFrame:
     return df
 
 
-def statistics(df: DataFrame, action: str, by: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """By dimension of a vector column (dim): mean, population std, max, min and 1 % and 99 % quantiles, exact or approximate."""
+def statistics(df: DataFrame, action: str, by: list[str] | None = None, exact: bool = True, quantiles: bool = True) -> DataFrame:
+    """By dimension of a vector column (dim): mean, population std, max, min and 1 % and 99 % quantiles, exact (all distinct values of a group in one buffer) or
+    by mergeable sketches; null without quantiles, which the modes normal and bounds do not need."""
     v = F.col("v")
-    q = (lambda p: F.percentile(v, F.lit(p))) if exact else (lambda p: F.percentile_approx(v, p, 10_000))
+    q = (lambda p: F.lit(None).cast("double")) if not quantiles else (lambda p: F.percentile(v, F.lit(p))) if exact else (lambda p: F.percentile_approx(v, p, 10_000))
     long = df.select(*(by or []), F.posexplode(action).alias("dim", "v"))
     return long.groupBy(*(by or []), "dim").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max(v).alias("max"), F.min(v).alias("min"), q(0.01).alias("q01"), q(0.99).alias("q99"))
 
@@ -57,9 +58,10 @@ def normalize(df: DataFrame, action: str, stats: DataFrame, mode: str, mask: lis
 
 
 def offset_of(key: Column, offsets: dict) -> Column:
-    """A constant of a small table by key; an unknown key is an error."""
+    """A constant of a small table by key (text, as a dataset's name, or numbers); an unknown key is an error."""
     table = F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv))
-    return F.coalesce(table[key.cast("int")], F.raise_error(F.lit("no goal offset for this dataset")).cast("int"))
+    kind = "string" if isinstance(next(iter(offsets), ""), str) else "int"
+    return F.coalesce(table[key.cast(kind)], F.raise_error(F.lit("no goal offset for this dataset")).cast("int"))
 
 
 def still_trim(df: DataFrame, state: str, least: float, by: str = "traj") -> DataFrame:

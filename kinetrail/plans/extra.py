@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from kinetrail.functions import actions as FA
-from kinetrail.operators import samples as M, views as V
+from kinetrail.operators import mixtures as X, registry as G, restructure as RS, samples as M, standardize as Z, stats as S, views as V
 from kinetrail.operators.views import TRAJ_EVENTS, TRAJ_ORDER, lcg, lcg_sql
 from kinetrail.plans.registry import query
 
@@ -108,11 +108,11 @@ def wrist_velocity(t):
 
 @query(f"WITH u AS (SELECT doc_id, source, lang, ({lcg_sql('doc_id', 31)} + 1) / 2147483649.0::DOUBLE AS u FROM documents) SELECT doc_id, row_number() OVER (ORDER BY -ln(u) / CASE lang WHEN 'en' THEN 0.5 WHEN 'fr' THEN 0.3 ELSE 0.2 END, doc_id) AS pos FROM u")
 def weighted_interleave(t):
-    """Sources mixed by weight: rows in order of an exponential draw over their source's weight. The order is a range sort; only the query's position needs a global number."""
+    """Sources mixed by weight: rows in order of an exponential draw over their source's weight, numbered range by range."""
     u = (lcg("doc_id", 31) + 1) / 2147483649.0
     w = F.when(F.col("lang") == "en", 0.5).when(F.col("lang") == "fr", 0.3).otherwise(0.2)
     df = t.documents.select("doc_id", (-F.log(u) / w).alias("key"))
-    return df.select("doc_id", F.row_number().over(Window.orderBy("key", "doc_id")).cast("long").alias("pos"))
+    return X.numbered_by(df, "key", "doc_id").select("doc_id", "pos")
 
 
 @query()
@@ -154,3 +154,89 @@ def contiguous_steps(t):
 @query("SELECT source, count(*) AS n, CAST(sum(k) AS BIGINT) AS tokens FROM (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9\\s]')) AS k FROM documents) GROUP BY source")
 def tokens_by_source(t):
     return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.sum(M.token_count(F.col("text"))).alias("tokens"))
+
+
+_GOALS = f"goals AS (SELECT * FROM (VALUES {', '.join(f'({i}, {n!r}, {k})' for i, (n, k) in enumerate(G.GOALS.items()))}) v(i, name, goal))"
+
+
+@query(f"WITH {_GOALS}, {EV}, d AS (SELECT ev.*, name, goal FROM ev JOIN goals ON goals.i = traj % 21) SELECT d.traj, d.t, d.name, least(d.t + goal - 1, max(d.t) OVER (PARTITION BY d.traj)) AS goal FROM d")
+def goal_by_dataset(t):
+    """Each step's goal by its dataset's name; an unknown name is an error."""
+    names = F.array(*map(F.lit, G.GOALS))
+    df = V.traj_events(t.events).withColumn("name", F.get(names, F.pmod("traj", F.lit(len(G.GOALS))).cast("int")))
+    last = F.max("t").over(Window.partitionBy("traj"))
+    return df.select("traj", "t", "name", F.least(F.col("t") + S.offset_of(F.col("name"), G.GOALS) - 1, last).alias("goal"))
+
+
+_MIXED = ", ".join(f"({m!r}, {i}, {d!r}, {w}::DOUBLE)" for m, x in G.MIXTURES.items() for i, (d, w) in enumerate(x))
+_LOADED = ", ".join(f"({n!r}, {G.TRANSFORMS[n]!r}, {c.action_encoding!r})" for n, c in G.CONFIGS.items())
+
+
+@query(f"""WITH mx AS (SELECT * FROM (VALUES {_MIXED}) v(mixture, pos, name, weight)), ds AS (SELECT * FROM (VALUES {_LOADED}) v(name, spec, enc)),
+o AS (SELECT *, row_number() OVER (PARTITION BY mixture, name ORDER BY pos) AS r FROM mx)
+SELECT mixture, o.name, spec, CASE enc WHEN 'EEF_POS' THEN 7 ELSE 10 END AS action_size, weight FROM o JOIN ds ON ds.name = o.name WHERE r = 1 AND enc IN ('EEF_POS', 'EEF_R6')""")
+def mixture_registry(t):
+    """Every mixture's datasets, each once, with spec and weight; those whose actions cannot be loaded are left out."""
+    datasets, mixtures = G.tables(t.spark)
+    first = X.first_of_name(mixtures.withColumn("k", F.struct("mixture", "name")), "k", "pos").drop("k")
+    size = F.when(F.col("action_encoding") == "EEF_POS", G.ACTION_SIZE["EEF_POS"]).when(F.col("action_encoding") == "EEF_R6", G.ACTION_SIZE["EEF_R6"])
+    return first.join(F.broadcast(datasets), "name").withColumn("action_size", size).where("action_size is not null").select("mixture", "name", "spec", "action_size", "weight")
+
+
+@query(f"WITH {LO} SELECT traj, t, CAST(t AS INT) AS timestep, generate_subscripts(p, 1) - 1 AS dim, unnest(p) AS v, name, m FROM (SELECT traj, t, [q, d, x, d, x, q, 0.0, x] AS p, 'bridge_orig' AS name, 'pick' AS m FROM lo)")
+def restructure(t):
+    """Proprioception of state, padding and gripper, with time step, language and name."""
+    v = lambda *c: F.array(*map(F.col, c))
+    df = V.traj_order(t.lineitem).select("traj", "t", v("q", "d", "x", "d", "x", "q").alias("EEF_state"), F.col("x").alias("gripper_state"), v("q", "d", "x", "d", "x", "q", "x").alias("action"), F.lit("pick").alias("language_instruction"), F.lit(b"i").alias("image_0"))
+    out = RS.restructured(df, G.settings("bridge_orig"))
+    return out.select("traj", "t", "timestep", F.posexplode("proprio").alias("dim", "v"), F.col("dataset_name").alias("name"), F.col("language").alias("m")).withColumn("dim", F.col("dim").cast("long")).withColumn("v", F.round(F.col("v").cast("double"), 4))
+
+
+@query("SELECT dir, path, CAST(k AS BIGINT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY path) AS r, count(*) OVER (PARTITION BY dir) AS n FROM (SELECT '/data/' || source || '/ep_' || doc_id || '.tar' AS path, '/data/' || source AS dir FROM documents)), range(121) x(k) WHERE k * n + r <= 120")
+def repeat_paths_to_count(t):
+    """120 paths of each directory, however few it has."""
+    d = F.concat(F.lit("/data/"), "source")
+    return X.repeated_to(t.documents.select(F.concat(d, F.lit("/ep_"), "doc_id", F.lit(".tar")).alias("path"), d.alias("dir")), "dir", "path", 120).select("dir", "path", "k")
+
+
+_LEN = "(n_nationkey * 13 % 40 + 1)"
+_CUTS = f"[{{'a': CAST(floor(i * {_LEN}::DOUBLE / least(8, {_LEN})) AS BIGINT), 'z': CAST(floor((i + 1) * {_LEN}::DOUBLE / least(8, {_LEN})) AS BIGINT) - 1}} for i in range(least(8, {_LEN}))]"
+
+
+@query(f"WITH r AS (SELECT n_nationkey, {_LEN} AS n, {_CUTS} AS rs FROM nation) SELECT n_nationkey, i, CAST(rs[least(i, len(rs) - 1) + 1].a + 1 AS BIGINT) AS frame FROM r, range(8) x(i)")
+def frame_from_start(t):
+    """One frame after the first of each of eight intervals."""
+    frames = (F.col("n_nationkey") * 13 % 40 + 1).cast("int")
+    return t.nation.select("n_nationkey", F.posexplode(X.from_start(8, frames, 1)).alias("i", "frame")).select("n_nationkey", F.col("i").cast("long").alias("i"), F.col("frame").cast("long").alias("frame"))
+
+
+_DRAW = lcg_sql("n_nationkey * 100 + {0}", 7)
+
+
+@query(f"""WITH r AS (SELECT n_nationkey, {_LEN} AS n, {_CUTS} AS rs FROM nation), f AS (SELECT *, len(list_filter(rs, lambda x: x.z <= x.a)) > 0 AS loose FROM r),
+g AS (SELECT n_nationkey, n, CASE WHEN loose THEN list_sort(list_transform(list_sort([{{'u': {_DRAW.format('i + 8')}, 'i': i}} for i in range(n)])[:least(8, n)], lambda x: x.i))
+  ELSE [rs[i + 1].a + {_DRAW.format('i')} % (rs[i + 1].z - rs[i + 1].a) for i in range(8)] END AS fr FROM f)
+SELECT n_nationkey, i, CAST(fr[least(i, len(fr) - 1) + 1] AS BIGINT) AS frame FROM g, range(8) x(i)""")
+def frame_random(t):
+    """A drawn frame of each of eight intervals."""
+    frames = (F.col("n_nationkey") * 13 % 40 + 1).cast("int")
+    got = X.at_random(8, frames, lambda i: lcg(F.col("n_nationkey") * 100 + i, 7))
+    return t.nation.select("n_nationkey", F.posexplode(got).alias("i", "frame")).select("n_nationkey", F.col("i").cast("long").alias("i"), F.col("frame").cast("long").alias("frame"))
+
+
+@query(f"WITH {LO} SELECT traj, t, round(cos(x) * q + sin(x) * d, 6) AS v0, round(-sin(x) * q + cos(x) * d, 6) AS v1, x AS v2, round(cos(x) ** 2 + sin(x) ** 2 * cos(q), 6) AS r0, round(cos(x) * sin(x) * (cos(q) - 1), 6) AS r1, round(-sin(x) * sin(q), 6) AS r2, round(cos(x) * sin(x) * (cos(q) - 1), 6) AS r3, round(sin(x) ** 2 + cos(x) ** 2 * cos(q), 6) AS r4, round(-cos(x) * sin(q), 6) AS r5 FROM lo")
+def wrist_action(t):
+    """Translation and rotation of a velocity in the frame of a wrist turned about z."""
+    z = F.lit(0.0)
+    got = FA.in_wrist_frame(F.array("q", "d", "x", "q", z, z), F.array(z, z, z, z, z, F.col("x")))
+    df = V.traj_order(t.lineitem).withColumn("w", got)
+    return df.select("traj", "t", *(r6(F.col("w")[i]).alias(f"v{i}") for i in range(2)), F.col("w")[2].alias("v2"), *(r6(F.col("w")[3 + i]).alias(f"r{i}") for i in range(6)))
+
+
+@query(f"WITH {LO} SELECT traj, t, generate_subscripts(x, 1) - 1 AS dim, round(unnest(x), 6) AS v FROM (SELECT traj, t, [q, d, x, x, d, q, 1 - x, q, d, x, x, d, q, q] AS x FROM lo)")
+def std_by_side(t):
+    """A dataset by its registered name; its action and its state have a column of one name."""
+    v = lambda *c: F.array(*map(F.col, c))
+    df = V.traj_order(t.lineitem).select("traj", "t", F.struct(v("q", "d", "x").alias("translation"), v("x", "d", "q").alias("rotation"), F.col("x").alias("gripper_position")).alias("action"), F.struct(v("q", "d", "x", "x", "d", "q").alias("cartesian_position"), F.col("q").alias("gripper_position")).alias("observation"))
+    out = Z.standardize(df, "droid").withColumn("all", F.concat("action", "proprio"))
+    return out.select("traj", "t", F.posexplode("all").alias("dim", "v")).select("traj", "t", F.col("dim").cast("long").alias("dim"), r6("v").alias("v"))

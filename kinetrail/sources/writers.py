@@ -49,3 +49,21 @@ def episode_plans(df: DataFrame, by: str, label: str, fps: float) -> DataFrame:
     df = subtask_sequence(df, label, by).withColumn("_c", changed(label, by=by)).where("_c = 1")
     entry = F.struct((F.col("t") / fps).cast("string").alias("key"), F.struct(F.slice("total", F.col("idx").cast("int") + 1, 10_000).alias("plan"), F.col(label).alias("subtask")).alias("value"))
     return df.groupBy(by).agg(F.map_from_entries(F.collect_list(entry)).alias("reasoning")).withColumn("fps", F.lit(float(fps)))
+
+
+def _field(name: str):
+    return lambda x: x[name]
+
+
+def write_poses(poses: DataFrame, path: str) -> None:
+    """One JSON object for each episode (ep, t, left_endpose, left_gripper, right_endpose, right_gripper by step): its lists in order of t."""
+    sides = [c for c in poses.columns if c not in ("ep", "t")]
+    rows = poses.groupBy("ep").agg(F.sort_array(F.collect_list(F.struct("t", *sides))).alias("_x"))
+    rows.select("ep", *(F.transform("_x", _field(c)).alias(c) for c in sides)).write.mode("overwrite").json(path)
+
+
+def write_statistics(stats: DataFrame, by: str, path: str) -> None:
+    """One JSON object for each dataset: mean, std, max, min, q01 and q99 as lists over the dimensions. stats: from operators.stats.statistics."""
+    names = ("mean", "std", "max", "min", "q01", "q99")
+    rows = stats.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("dim", *names))).alias("_x"))
+    rows.select(by, F.struct(*(F.transform("_x", _field(c)).alias(c) for c in names)).alias("action")).write.mode("overwrite").json(path)

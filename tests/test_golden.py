@@ -173,3 +173,127 @@ def test_checks(spark):
         spark.range(1).select(S.offset_of(F.lit(9), {1: 2})).collect()
     with pytest.raises(Exception, match="loss reduction"):
         spark.range(1).select(M.loss_weight(F.lit(3), F.lit("other"))).collect()
+
+
+def plain(part, row, side):
+    """A part of a spec by plain Python on one step: columns by side."""
+    import math
+
+    if part.op in ("zeros", "ones"):
+        return [float(part.op == "ones")] * part.n
+    x = row[side][part.column] if part.column in row[side] else row["observation" if side == "action" else "action"][part.column]
+    x = (x if isinstance(x, list) else [x])[part.start : part.stop]
+    if part.op == "euler":
+        a, b, c, w = x[:4]
+        return [math.atan2(2 * (w * a + b * c), 1 - 2 * (a * a + b * b)), math.asin(max(-1, min(1, 2 * (w * b - c * a)))), math.atan2(2 * (w * c + a * b), 1 - 2 * (b * b + c * c))]
+    if "clip" in part.op:
+        x = [max(0.0, min(1.0, v)) for v in x]
+    return [1 - v for v in x] if "invert" in part.op else x
+
+
+def test_every_spec_by_value(spark):
+    """Each source's action and states on structs of an action's and an observation's side, whose columns of one name differ; grippers are scalars. Registered names lead to the specs."""
+    from pyspark.sql import types as T
+
+    from kinetrail.operators import registry as G
+
+    assert set(G.TRANSFORMS.values()) == set(Z.SPECS) and len(G.TRANSFORMS) == 73 and len(G.CONFIGS) == 70 and len(G.GOALS) == 21
+    scalars = {"open_gripper", "gripper_closedness_action", "gripper_position", "gripper", "gripper_width", "state_gripper_pose"}
+    for name, spec in Z.SPECS.items():
+        if any(p.op in ("binarize", "relative") for p in spec.action):
+            continue
+        sides = {"action": {p.column for p in spec.action if p.column} - {"state", "action"}, "observation": {p.column for _, x in spec.state for p in x if p.column} | {p.column for p in spec.action if p.column == "state"} | ({spec.relabel} if spec.relabel else set())}
+        flat = any(p.column == "action" for p in spec.action)
+        shape = {(s, c): c in scalars for s, x in sides.items() for c in x}
+        rows = []
+        for t in range(5):
+            r = {s: {c: (t + k) / 7 if shape[s, c] else [math_value(t, i, k, s) for i in range(16)] for k, c in enumerate(sorted(x))} for s, x in sides.items()}
+            r["action"] |= {"action": [math_value(t, i, 9, "a") for i in range(16)]} if flat else {}
+            rows.append(r)
+        side = lambda s: T.StructType([T.StructField(c, T.DoubleType() if shape[s, c] else T.ArrayType(T.DoubleType())) for c in sorted(sides[s])])  # noqa: B023, E731
+        action = T.ArrayType(T.DoubleType()) if flat else side("action")
+        schema = T.StructType([T.StructField("traj", T.LongType()), T.StructField("t", T.LongType()), T.StructField("action", action), T.StructField("observation", side("observation")), T.StructField("natural_language_instruction", T.StringType())])
+        data = [(1, t, r["action"]["action"] if flat else tuple(r["action"][c] for c in sorted(sides["action"])), tuple(r["observation"][c] for c in sorted(sides["observation"])), "go") for t, r in enumerate(rows)]
+        if flat and sides["action"]:
+            continue
+        out = Z.standardize(spark.createDataFrame(data, schema), spec).orderBy("t").collect()
+        used = rows[1:] if spec.drop else rows
+        for i, got in enumerate(out):
+            want = [v for p in spec.action for v in plain(p, used[i], "action")]
+            if spec.relabel:
+                want[:6] = [b - a for a, b in zip(used[i]["observation"][spec.relabel][:6], used[i + 1]["observation"][spec.relabel][:6], strict=True)]
+            assert got.action == pytest.approx(want), name
+            for state, parts in spec.state:
+                assert got[state] == pytest.approx([v for p in parts for v in plain(p, used[i], "observation")]), (name, state)
+        assert len(out) == len(used) - bool(spec.relabel)
+
+
+def math_value(t, i, k, side):
+    return ((t * 31 + i * 7 + k * 13 + len(side)) % 23) / 23
+
+
+def test_registry(spark):
+    from kinetrail.operators import registry as G
+
+    s = G.settings("bridge_orig", views=("primary", "wrist"), depth=True)
+    assert s["images"] == {"primary": "image_0", "wrist": None} and s["states"] == ("EEF_state", None, "gripper_state") and s["spec"] == "bridge_orig"
+    assert s["absolute_action_mask"] == [False] * 6 + [True] and "depths" in s and G.settings("droid")["chunk_filter"] == "zero_action"
+    with pytest.raises(ValueError, match="JOINT_POS"):
+        G.settings("roboset")
+    with pytest.raises(ValueError, match="views"):
+        G.settings("kuka", views=("top",))
+    with pytest.warns(UserWarning, match="berkeley_rpt"):
+        names = [(x["name"], w) for x, w in G.mixture("rtx_franka")]
+    assert names[3] == ("taco_play", 2.0) and len(names) == len({n for n, _ in names}) == 23
+    assert [(x["name"], w) for x, w in G.mixture("toto")] == [("toto", 1.0)]
+    got = spark.createDataFrame([("kuka",), ("toto",)], "d string").select(S.offset_of(F.col("d"), G.GOALS).alias("k")).collect()
+    assert [r.k for r in got] == [30, 60]
+    with pytest.raises(Exception, match="goal offset"):
+        spark.range(1).select(S.offset_of(F.lit("cmu_stretch"), G.GOALS)).collect()
+
+
+def test_segments_beyond_the_episode(spark):
+    frames = spark.createDataFrame([(1, i) for i in range(4)], "ep long, t long")
+    seg = spark.createDataFrame([(1, 0, -5, 1, "a"), (1, 1, 3, 3_000_000_000, "b"), (1, 2, 90, 99, "c")], "ep long, seg int, start long, stop long, label string")
+    assert column(A.label_frames(frames, seg, "ep", "x"), "label") == list("aaab")
+
+
+def test_group_packer(spark):
+    """Mandatory groups first, draws by weight, skipped and lost samples, and a run cut in two goes on as one."""
+    limits = M.Limits(expected=90, most=100, per_sample=60, prefer=40, buffer=2)
+    packer = M.GroupPacker([M.Group("a", 3.0), M.Group("b", 1.0, mandatory=True)], limits, seed=5)
+    samples = {"a": [(i, 10 + i * 7 % 55) for i in range(40)], "b": [(100 + i, (i * 20) % 70 + 1) for i in range(9)]}
+    whole = list(packer.batches(0, samples, 30))
+    sizes = dict(samples["a"] + samples["b"])
+    for batch, _ in whole:
+        assert batch[0][0] == "b" and batch[0][2] < 60 and sum(x[2] for x in batch) <= 100 and all(x[2] == sizes[x[1]] and x[2] <= 60 for x in batch)
+    assert sum(sum(x[2] for x in b) >= 90 for b, _ in whole) > 10
+    drawn = [x[0] for b, _ in whole for x in b[1:]]
+    assert 0.6 < drawn.count("a") / len(drawn) < 0.9
+    first = list(packer.batches(0, samples, 12))
+    rest = list(packer.batches(0, samples, 18, first[-1][1]))
+    assert first + rest == whole
+    rows = [(s, g, i, n) for s in (0, 1) for g, x in samples.items() for i, n in x]
+    df = spark.createDataFrame(rows, "shard long, kind string, sample long, size long")
+    got = packer.packed(df, "shard", "kind", "sample", "size", 30).where("shard = 0").orderBy("batch", "pos").collect()
+    assert [(r.group, r.sample, r["size"]) for r in got] == [x for b, _ in whole for x in b] and sum(r.state is not None for r in got) == 30
+    with pytest.raises(ValueError, match="fits"):
+        next(packer.batches(0, {"a": [(1, 61)], "b": [(2, 5)]}, 1))
+    with pytest.raises(ValueError, match="weights"):
+        M.GroupPacker([M.Group("a", 0.0)], limits)
+    assert M.groups_of({"x": {"dataset_names": ["d"], "weight": 2, "is_mandatory": True}}) == [M.Group("x", 2.0, True)]
+
+
+def test_loss_tokens(spark):
+    items = spark.createDataFrame([(1, "text", 1, 4, 0), (1, "vae_image", 1, 3, 4), (1, "action", 1, 2, 7), (1, "text", 0, 5, 9), (1, "text", 1, 1, 14)], "conv long, type string, loss int, n_tokens int, start long")
+    got = {k: sorted(r.token for r in M.loss_tokens(items, ["conv"], k).collect()) for k in ("ce", "mse", "l1")}
+    assert got == {"ce": [0, 1, 2], "mse": [4, 5, 6], "l1": [7, 8]}
+
+
+def test_clips_and_numbers(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(X.clipped(F.array(F.lit(0), F.lit(3)), F.lit(1.5), F.lit(10.0))) == [15, 18] and one(X.clip_length(F.lit(1.5), F.lit(4.0), F.lit(10.0))) == 25
+    df = spark.range(5000).select("id", (F.pmod(F.col("id") * 7919, F.lit(100)) / 10).alias("key")).repartition(5)
+    got = [(r.key, r.id) for r in X.numbered_by(df, "key", "id", parts=13).orderBy("pos").collect()]
+    assert got == sorted(got) and X.numbered_by(df, "key", "id", parts=13).agg(F.max("pos")).first()[0] == 5000
+    assert X.numbered_by(df.limit(0), "key").count() == 0

@@ -68,3 +68,17 @@ def test_writers(spark, tmp_path):
     Wr.write_annotations(spark.createDataFrame([(1, "a table")], "ep long, scene_description string"), frames, "ep", str(tmp_path / "j"))
     back = spark.read.json(str(tmp_path / "j")).first()
     assert [f.current_subtask for f in back.frame_annotations] == ["a", "b"]
+
+
+def test_poses_and_statistics_as_json(spark, tmp_path):
+    from kinetrail.operators.stats import statistics
+    from kinetrail.sources.writers import write_poses, write_statistics
+
+    poses = spark.createDataFrame([(1, 1, [2.0], 0.2), (1, 0, [1.0], 0.1), (2, 0, [3.0], 0.3)], "ep long, t long, left_endpose array<double>, left_gripper double")
+    write_poses(poses, str(tmp_path / "p"))
+    got = {r.ep: (r.left_endpose, r.left_gripper) for r in spark.read.json(str(tmp_path / "p")).collect()}
+    assert got == {1: ([[1.0], [2.0]], [0.1, 0.2]), 2: ([[3.0]], [0.3])}
+    df = spark.createDataFrame([("d", [1.0, 2.0]), ("d", [3.0, 2.0])], "name string, action array<double>")
+    write_statistics(statistics(df, "action", ["name"]), "name", str(tmp_path / "s"))
+    r = spark.read.json(str(tmp_path / "s")).first()
+    assert r.name == "d" and r.action["mean"] == [2.0, 2.0] and r.action["max"] == [3.0, 2.0]

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. run() writes each
 stage's rows to the shared folder and rereads them for the next one.
+
+Odd rows, in every stage: a null text counts as empty. An empty text has the quality model's bias as its score, is near to nothing, holds no benchmark item, is kept once by
+the mixing and lies in a shard. Texts are read whole, however long. Repeated rows share their fate up to near_duplicates, which keeps one row of each id; rows without an id stay there,
+and further on they are treated alike. An empty table, of documents or of labels or of benchmark items, gives what the other tables leave: without labels every score is 0.5 and all
+stays, without items nothing goes, and posteriors are uniform. Extra columns are carried along whatever their names; only the last stage replaces columns named shard, slot and grown_shard.
 """
 
 from __future__ import annotations
@@ -18,17 +23,17 @@ from kinetrail.llm.store import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Ties at the threshold stay."""
     return QualityClassifier().fit(docs, table(spark, sf_dir, "labels")).keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one of the smallest id stays; of rows that share an id, one."""
+    """Of each group of linked documents, the one of the smallest id stays; of rows that share an id, one. Empty texts are linked with nothing."""
     return JaccardJoin().first_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty items match nothing."""
     return Decontaminate().clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -39,7 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of docs with shard, slot and grown_shard."""
+    """The columns of docs with shard, slot and grown_shard; slots are gapless in a shard, copies of a document share their shard."""
     return Sharding(shards=24).shuffled(docs)
 
 

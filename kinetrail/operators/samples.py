@@ -79,64 +79,63 @@ def resized(df: DataFrame, w: str, h: str, largest: int, smallest: int, stride:
     return df.withColumn("patches", F.expr(f"new_w * new_h div {stride * stride}")).drop("_s", "_t")
 
 
-def greedy_packs(samples: DataFrame, shard: str, order: str, size: str, expected: int, most: int, per_sample: int) -> DataFrame:
-    """Greedy packing without a buffer, shard by shard in order: (shard, sample, batch, size). Samples over per_sample are skipped; one that would overflow closes the batch and is lost; a
-    batch that reaches expected closes. A fold over each shard's array, so a shard must fit a task: shards are the unit of parallelism."""
-    state = "struct<cur:bigint,batch:int,out:array<struct<sample:bigint,batch:int,size:bigint>>>"
-    items = F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("sample"), F.col(size).cast("long").alias("size"))))
-    start = F.expr(f"cast(named_struct('cur', 0L, 'batch', 0, 'out', array()) as {state})")
-
-    def step(acc: Column, x: Column) -> Column:
-        full = acc["cur"] + x["size"] > most
-        put = acc["cur"] + x["size"]
-        return (
-            F.when(x["size"] > per_sample, acc)
-            .when(full, F.struct(F.lit(0).cast("long").alias("cur"), (acc["batch"] + 1).alias("batch"), acc["out"].alias("out")))
-            .otherwise(F.struct(F.when(put >= expected, F.lit(0).cast("long")).otherwise(put).alias("cur"), F.when(put >= expected, acc["batch"] + 1).otherwise(acc["batch"]).alias("batch"), F.concat(acc["out"], F.array(F.struct(x["sample"].alias("sample"), acc["batch"].alias("batch"), x["size"].alias("size")))).alias("out")))
-        )
+def _streamed_packs(samples: DataFrame, shard: str, order: str, size: str, expected: int, most: int, per_sample: int, prefer: int, buffer: int) -> DataFrame:
+    """The packer over sorted rows, in Arrow batches: a task holds the length of the open batch and the buffer, however long a shard is."""
+    import pyarrow as pa
 
-    packed = samples.groupBy(shard).agg(items.alias("_x")).select(shard, F.explode(F.aggregate("_x", start, step)["out"]).alias("o"))
-    return packed.select(shard, "o.sample", "o.batch", "o.size")
+    def run(batches):
+        now, held, cur, batch = None, deque(), 0, 0
+        out: list[tuple] = []
 
-
-def packs_with_buffer(samples: DataFrame, shard: str, order: str, size: str, expected: int, most: int, per_sample: int, prefer: int, buffer: int) -> DataFrame:
-    """The packer with its first-in first-out buffer: (shard, sample, batch, size). While a batch is shorter than prefer, buffered samples come first. A fresh sample that would overflow is buffered if there is
-    room; otherwise the batch closes and the sample is lost. What is buffered or open at the end of a shard is reported with batch -1 - n and the open batch's number."""
-    import pandas as pd
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out, open_, held, cur, batch = [], [], deque(), 0, 0
-        fresh = list(zip(pdf[order], pdf[size], strict=True))
-        at = 0
-        while True:
-            buffered = cur < prefer and bool(held)
-            if buffered:
-                sample, n = held.popleft()
-            elif at < len(fresh):
-                sample, n = fresh[at]
-                at += 1
-            else:
-                break
+        def take(sample, n, fresh):
+            nonlocal cur, batch
             if n > per_sample:
-                continue
+                return
             if cur + n > most:
-                if len(held) < buffer and not buffered:
+                if fresh and len(held) < buffer:
                     held.append((sample, n))
                 else:
-                    out += [(s, batch, k) for s, k in open_]
-                    open_, cur, batch = [], 0, batch + 1
-                continue
-            open_.append((sample, n))
+                    cur, batch = 0, batch + 1
+                return
+            out.append((now, sample, batch, n))
             cur += n
             if cur >= expected:
-                out += [(s, batch, k) for s, k in open_]
-                open_, cur, batch = [], 0, batch + 1
-        out += [(s, batch, k) for s, k in open_] + [(s, -1 - i, k) for i, (s, k) in enumerate(held)]
-        return pd.DataFrame(out, columns=["sample", "batch", "size"]).assign(**{shard: pdf[shard].iloc[0]})[[shard, "sample", "batch", "size"]]
+                cur, batch = 0, batch + 1
+
+        def drained():
+            while cur < prefer and held:
+                take(*held.popleft(), False)
+
+        for b in batches:
+            for key, sample, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if key != now:
+                    out += [(now, s, -1 - i, k) for i, (s, k) in enumerate(held)]
+                    held.clear()
+                    now, cur, batch = key, 0, 0
+                take(sample, n, True)
+                drained()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (b.schema.field(0).type, pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[shard, "sample", "batch", "size"])
+                out = []
+        if held:
+            rest = [(now, s, -1 - i, k) for i, (s, k) in enumerate(held)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rest, strict=True), (b.schema.field(0).type, pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[shard, "sample", "batch", "size"])
 
     kind = dict(samples.dtypes)[shard]
-    return samples.groupBy(shard).applyInPandas(pack, f"{shard} {kind}, sample long, batch int, size long")
+    some = samples.select(shard, F.col(order).cast("long").alias("sample"), F.col(size).cast("long").alias("size"))
+    return some.repartition(shard).sortWithinPartitions(shard, "sample").mapInArrow(run, f"`{shard}` {kind}, sample long, batch int, size long")
+
+
+def greedy_packs(samples: DataFrame, shard: str, order: str, size: str, expected: int, most: int, per_sample: int) -> DataFrame:
+    """Greedy packing without a buffer, shard by shard in order: (shard, sample, batch, size). Samples over per_sample are skipped; one that would overflow closes the batch and is lost; a
+    batch that reaches expected closes. Shards are the unit of parallelism; a task holds none of their rows."""
+    return _streamed_packs(samples, shard, order, size, expected, most, per_sample, 0, 0)
+
+
+def packs_with_buffer(samples: DataFrame, shard: str, order: str, size: str, expected: int, most: int, per_sample: int, prefer: int, buffer: int) -> DataFrame:
+    """The packer with its first-in first-out buffer: (shard, sample, batch, size). While a batch is shorter than prefer, buffered samples come first. A fresh sample that would overflow is buffered if there is
+    room; otherwise the batch closes and the sample is lost. What is buffered at the end of a shard is reported with batch -1 - n, what is open with the open batch's number."""
+    return _streamed_packs(samples, shard, order, size, expected, most, per_sample, prefer, buffer)
 
 
 def offsets(items: DataFrame, batch: list[str], *order: str) -> DataFrame:
@@ -167,13 +166,35 @@ def loss_weight(n: Column, kind: Column) -> Column:
     return F.when(n == 0, 0.0).when(kind == "token", 1.0).when(kind == "sample", 1.0 / n).when(kind == "square", 1.0 / F.sqrt(n.cast("double"))).otherwise(F.raise_error(F.lit("unknown loss reduction")).cast("double"))
 
 
-def loss_tokens(items: DataFrame, batch: list[str], kind: str) -> DataFrame:
-    """Adds token, the place in its batch of each token that a loss reads: ce, all but the last of a text with loss (it predicts the next one); mse, all of an image with
-    loss; l1, all of an action with loss. items: from offsets()."""
-    kinds = {"ce": ("text",), "mse": ("vae_image", "image", "goal_image"), "l1": ("action",)}
-    some = items.where(F.col("type").isin(*kinds[kind]) & (F.col("loss") == 1) & (F.col("n_tokens") > int(kind == "ce")))
-    last = F.col("start") + F.col("n_tokens") - (2 if kind == "ce" else 1)
-    return some.withColumn("token", F.explode(F.sequence(F.col("start").cast("long"), last.cast("long"))))
+def loss_tokens(items: DataFrame, kind: str) -> DataFrame:
+    """Adds token, the place in its batch of each token that a loss reads. ce: all but the last of a text with loss (each predicts the next); mse: an image with loss, l1: an action with
+    loss, both without their start and end token. items: from offsets()."""
+    kinds = {"ce": ("text", 0, 2), "mse": ("vae_image", 1, 2), "l1": ("action", 1, 2)}
+    name, skip, last = kinds[kind]
+    some = items.where((F.col("type") == name) & (F.col("loss") == 1) & (F.col("n_tokens") > skip + 1))
+    start = F.col("start").cast("long")
+    return some.withColumn("token", F.explode(F.sequence(start + skip, start + F.col("n_tokens") - last)))
+
+
+def video_items(prompt_tokens: Column, latent_tokens: int, patch_tokens: int, frames: int = 3) -> Column:
+    """Plan of a video-prediction sample, as an array of (type, loss, n_tokens): a clean vae and a vit item for each shown frame, the prompt if it has tokens, then the frame to predict as noised vae, clean
+    vae and vit. Marks are counted in."""
+
+    def item(kind: str, loss: int, n) -> Column:
+        return F.struct(F.lit(kind).alias("type"), F.lit(loss).alias("loss"), (n if isinstance(n, Column) else F.lit(n)).cast("int").alias("n_tokens"))
+
+    clean = [item("vae_image", 0, latent_tokens + 2), item("vit_image", 0, patch_tokens + 2)]
+    text = F.filter(F.array(item("text", 0, prompt_tokens + 2)), lambda x: x["n_tokens"] > 2)
+    return F.concat(F.array(*clean * frames), text, F.array(item("vae_image", 1, latent_tokens + 2), *clean))
+
+
+def cache_ranges(df: DataFrame, by: list[str], order: str, kept: str, fresh: str, rope: str, text: bool) -> DataFrame:
+    """Index ranges of a packed forward pass over a key-value cache: each row brings kept cached and fresh new tokens. Adds kv_start (its cached tokens among all, kept of them), query_start (its new tokens among
+    all, fresh of them), packed_start (its new tokens among the new ones), new_length and new_rope; a text moves the position by its tokens, an image by one."""
+    past = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    both = F.col(kept) + F.col(fresh)
+    df = df.withColumn("kv_start", F.sum(both).over(past) - both).withColumn("packed_start", F.sum(fresh).over(past) - F.col(fresh))
+    return df.withColumn("query_start", F.col("kv_start") + F.col(kept)).withColumn("new_length", both).withColumn("new_rope", F.col(rope) + (F.col(fresh) if text else F.lit(1)))
 
 
 def _unit(*parts: int) -> float:

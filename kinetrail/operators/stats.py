@@ -24,13 +24,45 @@ def small(df: DataFrame, rows: int = MAX_DATASETS) -> DataFrame:
     return df
 
 
-def statistics(df: DataFrame, action: str, by: list[str] | None = None, exact: bool = True, quantiles: bool = True) -> DataFrame:
-    """By dimension of a vector column (dim): mean, population std, max, min and 1 % and 99 % quantiles, exact (all distinct values of a group in one buffer) or
-    by mergeable sketches; null without quantiles, which the modes normal and bounds do not need."""
-    v = F.col("v")
-    q = (lambda p: F.lit(None).cast("double")) if not quantiles else (lambda p: F.percentile(v, F.lit(p))) if exact else (lambda p: F.percentile_approx(v, p, 10_000))
+#: Rank error of the sketches that bracket a quantile, as a share of the rows, and how far the bracket reaches.
+SKETCH, REACH = 10_000, 3e-4
+
+
+def quantiles(long: DataFrame, by: list[str], v: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation by group, in two passes: mergeable sketches bracket each quantile, then the rows below a bracket are counted and only the different values inside are ranked.
+    So no aggregation buffer holds a group's values. Nulls and NaN are left out."""
+    long = long.where(F.col(v).isNotNull() & ~F.isnan(v)).select(*by, F.col(v).cast("double").alias("_v"))
+    edges = [e for p in shares.values() for e in (max(p - REACH, 0.0), min(p + REACH, 1.0))]
+    brackets = long.groupBy(*by).agg(F.percentile_approx("_v", edges, SKETCH).alias("_e"), F.count("*").alias("_n"))
+    near = long.join(small(brackets), by)
+    names = list(shares)
+    cut = [(F.col("_e")[2 * i], F.col("_e")[2 * i + 1]) for i in range(len(names))]
+    side = lambda lo, hi: F.when(F.col("_v") < lo, -1).when(F.col("_v") > hi, 1).otherwise(0)
+    sides = F.array(*(F.struct(F.lit(i).alias("i"), side(lo, hi).alias("side")) for i, (lo, hi) in enumerate(cut)))
+    near = near.select(*by, "_n", "_v", F.explode(sides).alias("_x")).select(*by, "_n", "_v", "_x.i", "_x.side")
+    # inside a bracket all different values; below it their count and the largest, above it the least, as the two ranks of a quantile can lie on both sides of an edge
+    value = F.when(F.col("side") == 0, F.col("_v"))
+    counts = near.groupBy(*by, "i", "side", value.alias("_k")).agg(F.max("_n").alias("_n"), F.count("*").alias("_c"), F.when(F.col("side") < 0, F.max("_v")).otherwise(F.min("_v")).alias("_v"))
+    w = Window.partitionBy(*by, "i").orderBy("side", "_v")
+    counts = counts.withColumn("_hi", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    share = F.array(*(F.lit(float(p)) for p in shares.values()))[F.col("i")]
+    at = share * (F.col("_n") - 1)
+    holds = lambda r: F.max(F.when((F.col("side") == 0) & (F.col("_lo") <= r) & (F.col("_hi") > r) | (F.col("side") < 0) & (F.col("_hi") - 1 == r) | (F.col("side") > 0) & (F.col("_lo") == r), F.col("_v")))
+    found = counts.withColumn("_at", at).groupBy(*by, "i").agg(holds(F.floor("_at")).alias("_a"), holds(F.ceil("_at")).alias("_b"), F.max(F.col("_at") - F.floor("_at")).alias("_f"))
+    got = F.when(F.col("_f") == 0, F.col("_a")).otherwise((1 - F.col("_f")) * F.col("_a") + F.col("_f") * F.col("_b"))
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("i") == i, got)).alias(n) for i, n in enumerate(names)))
+
+
+def statistics(df: DataFrame, action: str, by: list[str] | None = None, exact: bool = True, quantiled: bool = True) -> DataFrame:
+    """By dimension of a vector column (dim): mean, population std, max, min and 1 % and 99 % quantiles, exact (in a second pass) or by mergeable sketches; null if not
+    quantiled, as the modes normal and bounds do not need them."""
+    v, keys = F.col("v"), [*(by or []), "dim"]
+    q = (lambda p: F.percentile_approx(v, p, SKETCH)) if quantiled and not exact else (lambda p: F.lit(None).cast("double"))
     long = df.select(*(by or []), F.posexplode(action).alias("dim", "v"))
-    return long.groupBy(*(by or []), "dim").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max(v).alias("max"), F.min(v).alias("min"), q(0.01).alias("q01"), q(0.99).alias("q99"))
+    out = long.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max(v).alias("max"), F.min(v).alias("min"), q(0.01).alias("q01"), q(0.99).alias("q99"))
+    if not (quantiled and exact):
+        return out
+    return out.drop("q01", "q99").join(small(quantiles(long, keys, "v", {"q01": 0.01, "q99": 0.99})), keys, "left")
 
 
 def normalize(df: DataFrame, action: str, stats: DataFrame, mode: str, mask: list[bool], by: list[str]) -> DataFrame:
@@ -131,9 +163,13 @@ def subtask_sequence(df: DataFrame, label: str, by: str = "traj") -> DataFrame:
     return df.withColumn("total", F.transform(runs, lambda r: r["label"])).drop("_c")
 
 
+#: Parts of the whole weight by which draws meet the items.
+CELLS = 10_000
+
+
 def draw_by_weight(items: DataFrame, key: str, weight: str, n: int, draw: Callable[[Column], Column]) -> DataFrame:
     """n draws with replacement in proportion to integer weights: (i, key). draw(i) gives a long, taken modulo the total. Weights are one row for each item; their
-    running sums are made in blocks, so no task needs them all."""
+    running sums are made in blocks, so no task needs them all. An item meets the draws of the cells that its weight covers, by an equi join."""
     if n > MAX_DRAWS:
         raise ValueError(f"at most {MAX_DRAWS} draws in one call")
     blocks = items.withColumn("_b", F.floor(F.col(key) / 1000))
@@ -141,6 +177,9 @@ def draw_by_weight(items: DataFrame, key: str, weight: str, n: int, draw: Callab
     base = sums.withColumn("_base", F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
     total = base.agg(F.sum("_n").alias("total"))
     inside = F.sum(weight).over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    spans = blocks.join(base, "_b").withColumn("_hi", F.col("_base") + inside).withColumn("_lo", F.col("_hi") - F.col(weight))
+    cell = lambda c: F.expr(f"({c} * {CELLS}) div total")
+    spans = blocks.join(base, "_b").withColumn("_hi", F.col("_base") + inside).withColumn("_lo", F.col("_hi") - F.col(weight)).where(F.col(weight) > 0)
+    spans = spans.join(F.broadcast(total)).withColumn("_cell", F.explode(F.sequence(cell("_lo"), cell("(_hi - 1)"))))
     draws = items.sparkSession.range(n).withColumnRenamed("id", "i").join(F.broadcast(total)).withColumn("_u", F.pmod(draw(F.col("i")), F.col("total")))
-    return spans.join(F.broadcast(draws), (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select("i", key)
+    draws = draws.select("i", "_u", cell("_u").alias("_cell"))
+    return spans.join(F.broadcast(draws), "_cell").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select("i", key)

@@ -91,7 +91,7 @@ _STATS = """s AS (SELECT prim, avg(a) AS mean, stddev_pop(a) AS std, min(a) AS l
 
 def _normalized(t, mode, masked=True):
     df = V.traj_events(t.events).withColumn("action", F.array("a", "g"))
-    s = S.statistics(df, "action", by=["prim"], quantiles=mode == "bounds_q99")
+    s = S.statistics(df, "action", by=["prim"], quantiled=mode == "bounds_q99")
     return S.normalize(df, "action", s, mode, [True, not masked], by=["prim"]).select("traj", "t", r6(F.col("action")[0]).alias("n0"), r6(F.col("action")[1]).alias("n1"))
 
 

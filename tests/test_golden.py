@@ -285,9 +285,54 @@ def test_group_packer(spark):
 
 
 def test_loss_tokens(spark):
-    items = spark.createDataFrame([(1, "text", 1, 4, 0), (1, "vae_image", 1, 3, 4), (1, "action", 1, 2, 7), (1, "text", 0, 5, 9), (1, "text", 1, 1, 14)], "conv long, type string, loss int, n_tokens int, start long")
-    got = {k: sorted(r.token for r in M.loss_tokens(items, ["conv"], k).collect()) for k in ("ce", "mse", "l1")}
-    assert got == {"ce": [0, 1, 2], "mse": [4, 5, 6], "l1": [7, 8]}
+    """Items with their marks: a text of two tokens, an image of three, an action of two, a text without loss, one without tokens."""
+    items = spark.createDataFrame([(1, "text", 1, 4, 0), (1, "vae_image", 1, 5, 4), (1, "action", 1, 4, 9), (1, "text", 0, 5, 13), (1, "text", 1, 1, 18), (1, "vae_image", 1, 2, 19)], "conv long, type string, loss int, n_tokens int, start long")
+    got = {k: sorted(r.token for r in M.loss_tokens(items, k).collect()) for k in ("ce", "mse", "l1")}
+    assert got == {"ce": [0, 1, 2], "mse": [5, 6, 7], "l1": [10, 11]}
+
+
+def test_quantiles(spark):
+    """Two passes give the same as sorting: many, few, one and equal values, nulls and NaN; several groups."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {0: rng.normal(size=30_000), 1: rng.integers(0, 5, 5000).astype(float), 2: np.array([2.5]), 3: np.full(400, 7.0), 4: rng.exponential(size=57), 5: np.array([1.0, 9.0])}
+    rows = [(g, float(x)) for g, x in groups.items() for x in x] + [(0, None), (1, float("nan")), (6, None)]
+    df = spark.createDataFrame(rows, "g long, v double").repartition(7)
+    shares = {"lo": 0.01, "mid": 0.5, "hi": 0.99, "end": 1.0}
+    got = {r.g: r for r in S.quantiles(df, ["g"], "v", shares).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        assert [got[g][n] for n in shares] == pytest.approx([np.quantile(x, p) for p in shares.values()], rel=1e-12)
+
+
+def test_packs_are_streamed(spark):
+    """Shards that share a task, of text keys, and batches that cross Arrow batches: the same as a plain loop."""
+    rows = [(f"s{k}", i, (i * 37 + k * 11) % 70 + 1) for k in range(5) for i in range(3000)]
+    df = spark.createDataFrame(rows, "shard string, sample long, size long").repartition(6)
+    for buffer, prefer in ((0, 0), (3, 50)):
+        got = sorted((r.shard, r.sample, r.batch, r["size"]) for r in M.packs_with_buffer(df.coalesce(1), "shard", "sample", "size", 90, 100, 65, prefer, buffer).collect())
+        want = []
+        for k in range(5):
+            todo, held, cur, batch = [(i, n) for s, i, n in rows if s == f"s{k}"], [], 0, 0
+            while todo or (cur < prefer and held):
+                old = cur < prefer and bool(held)
+                i, n = (held if old else todo).pop(0)
+                if n > 65:
+                    continue
+                if cur + n > 100:
+                    if not old and len(held) < buffer:
+                        held.append((i, n))
+                    else:
+                        cur, batch = 0, batch + 1
+                    continue
+                want.append((f"s{k}", i, batch, n))
+                cur += n
+                if cur >= 90:
+                    cur, batch = 0, batch + 1
+            want += [(f"s{k}", i, -1 - j, n) for j, (i, n) in enumerate(held)]
+        assert got == sorted(want)
+    assert M.greedy_packs(df.limit(0), "shard", "sample", "size", 90, 100, 65).count() == 0
 
 
 def test_clips_and_numbers(spark):

@@ -42,11 +42,21 @@ def schedule(steps: int, shift: float = 1.0) -> Column:
     return F.transform(t, lambda v: shift * v / (1 + (shift - 1) * v))
 
 
-def sinusoid(x: Column, width: int, longest: float = 10_000.0) -> Column:
-    """Sines, then cosines, of x at width / 2 falling frequencies."""
+def sinusoid(x: Column, width: int, longest: float = 10_000.0, reach_end: bool = False, cosines_first: bool = False) -> Column:
+    """Sines, then cosines, of x at width / 2 falling frequencies from 1 to 1 / longest; the last is reached if asked for (positions of actions), else the next one would be it. Time steps take the cosines
+    first. An odd width ends in a 0."""
     half = width // 2
-    angles = F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda i: x * F.pow(F.lit(longest), -i / F.lit(float(half))))
-    return F.concat(F.transform(angles, F.sin), F.transform(angles, F.cos))
+    steps = F.lit(float(max(half - 1, 1) if reach_end else half))
+    angles = F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda i: x * F.pow(F.lit(longest), -i / steps))
+    both = [F.transform(angles, F.sin), F.transform(angles, F.cos)]
+    return F.concat(*(both[::-1] if cosines_first else both), F.array(*[F.lit(0.0)] * (width % 2)).cast("array<double>"))
+
+
+def grid_embedding(row: Column, column: Column, width: int) -> Column:
+    """Embedding of a place in a grid: the column's sinusoid, then the row's, each of half the width (a multiple of four)."""
+    if width % 4:
+        raise ValueError("the width must be a multiple of four")
+    return F.concat(sinusoid(column, width // 2), sinusoid(row, width // 2))
 
 
 def norm(v: Column) -> Column:

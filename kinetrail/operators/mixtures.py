@@ -167,3 +167,18 @@ def numbered_by(df: DataFrame, key: str, *ties: str, parts: int = 200) -> DataFr
     base = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # at most parts rows
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(key, *ties))
     return df.join(F.broadcast(base), "_part").withColumn("pos", (inside + F.col("_base")).cast("long")).drop("_part", "_base")
+
+
+def pieces(total: Column, u: Column, draw: Callable[[Column], Column], decay: float = 1.0) -> Column:
+    """A random split of a whole number from 1 on into positive parts. u in [0, 1) gives their number: evenly among 1 .. total, or by weights that fall by decay from each to the next. The cuts are the places
+    whose draw(i) is least, so the parts depend on u and draw only."""
+    if decay == 1.0:
+        n = F.floor(u * total)
+    else:
+        n = F.floor(F.log(1 - u * (1 - F.pow(F.lit(decay), total))) / F.log(F.lit(decay)))
+    n = F.greatest(F.least(n.cast("int"), total - 1), F.lit(0))
+    places = F.filter(F.sequence(F.lit(0), total - 1), lambda i: i > 0)
+    order = F.array_sort(F.transform(places, lambda i: F.struct(draw(i).alias("u"), i.alias("i"))))
+    cuts = F.array_sort(F.transform(F.slice(order, F.lit(1), n), lambda x: x["i"]))
+    ends = F.concat(cuts, F.array(total))
+    return F.transform(ends, lambda e, k: e - F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1)))

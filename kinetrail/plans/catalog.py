@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinetrail.operators import views, windows
-from kinetrail.plans import extra, mixing_sources, samples, trajectories  # noqa: F401
+from kinetrail.plans import episodes, extra, mixing_sources, samples, trajectories  # noqa: F401
 from kinetrail.plans.registry import QUERIES, SQL  # noqa: F401
 
 

@@ -109,7 +109,18 @@ def pack_greedy(t):
     return M.greedy_packs(_samples(t), "shard", "sample", "size", 2000, 2500, 1500)
 
 
-@query()
+_BUFFERED = f"""{_SAMPLES}, xs AS (SELECT shard, list({{'s': sample, 'n': size}} ORDER BY sample) AS x FROM sm GROUP BY shard),
+pk AS (SELECT shard, 0 AS k, 0 AS pos, 0::BIGINT AS cur, 0 AS batch, []::STRUCT(s BIGINT, n BIGINT)[] AS held, NULL::BIGINT AS sample, NULL::BIGINT AS size, NULL::INT AS b FROM xs
+  UNION ALL SELECT shard, k + 1, CASE WHEN old THEN pos ELSE pos + 1 END,
+    CASE WHEN it.n > 1500 OR (cur + it.n > 2500 AND keeps) THEN cur WHEN cur + it.n > 2500 OR cur + it.n >= 2000 THEN 0 ELSE cur + it.n END,
+    CASE WHEN it.n > 1500 OR (cur + it.n > 2500 AND keeps) THEN batch WHEN cur + it.n > 2500 OR cur + it.n >= 2000 THEN batch + 1 ELSE batch END,
+    CASE WHEN it.n <= 1500 AND cur + it.n > 2500 AND keeps THEN list_append(rest, it) ELSE rest END, it.s, it.n, CASE WHEN it.n <= 1500 AND cur + it.n <= 2500 THEN batch END
+  FROM (SELECT *, NOT old AND len(held) < 3 AS keeps, CASE WHEN old THEN held[1] ELSE x[pos + 1] END AS it, CASE WHEN old THEN held[2:] ELSE held END AS rest
+    FROM (SELECT pk.*, xs.x, pk.cur < 1000 AND len(pk.held) > 0 AS old FROM pk JOIN xs ON xs.shard = pk.shard) WHERE old OR pos < len(x))),
+last AS (SELECT shard, max_by(held, k) AS held FROM pk GROUP BY shard)"""
+
+
+@query(f"WITH RECURSIVE {_BUFFERED} SELECT shard, sample, b AS batch, size FROM pk WHERE b IS NOT NULL UNION ALL SELECT shard, held[i].s, CAST(-i AS INT), held[i].n FROM last, range(1, 4) r(i) WHERE i <= len(held)")
 def pack_buffered(t):
     return M.packs_with_buffer(_samples(t), "shard", "sample", "size", 2000, 2500, 1500, 1000, 3)
 

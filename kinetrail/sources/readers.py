@@ -51,6 +51,14 @@ def tar_samples(spark: SparkSession, folders: list[str], n: int | None = None) -
     return files.mapInPandas(read, "url string, key string, json string, jpg binary, error string")
 
 
+def episode_rows(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """path and rows of each Parquet file of a folder; 0 for one that cannot be read. Counts come from the files' footers, as no column is read."""
+    files = list_files(spark, [folder], "*.parquet").select("path")
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.parquet").parquet(folder).groupBy(F.input_file_name().alias("path")).agg(F.count("*").alias("rows"))
+    name = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    return files.withColumn("_p", name("path")).join(rows.select(name("path").alias("_p"), "rows"), "_p", "left").select("path", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 def json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON list (or one object) in a file, as rows."""
     return spark.read.schema(schema).option("multiLine", True).json(path)

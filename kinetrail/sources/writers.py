@@ -67,3 +67,25 @@ def write_statistics(stats: DataFrame, by: str, path: str) -> None:
     names = ("mean", "std", "max", "min", "q01", "q99")
     rows = stats.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("dim", *names))).alias("_x"))
     rows.select(by, F.struct(*(F.transform("_x", _field(c)).alias(c) for c in names)).alias("action")).write.mode("overwrite").json(path)
+
+
+def extracted(videos: DataFrame, by: str, frames: str, start: int = 0, most: int = -1) -> DataFrame:
+    """Frames to write of each video: (by, frame, name), from start on and at most so many (-1: all)."""
+    stop = F.col(frames) - 1 if most <= 0 else F.least(F.col(frames) - 1, F.lit(start + most - 1))
+    rows = videos.where(F.col(frames) > start).select(by, F.explode(F.sequence(F.lit(start).cast("long"), stop.cast("long"))).alias("frame"))
+    return rows.withColumn("name", frame_name(F.col("frame")))
+
+
+def json_texts(x):
+    """A list of texts as JSON with a space after each comma."""
+    one = F.transform(x, lambda v: F.to_json(F.array(v)))
+    return F.concat(F.lit("["), F.array_join(F.transform(one, lambda v: v.substr(F.lit(2), F.length(v) - 2)), ", "), F.lit("]"))
+
+
+def annotation_arrays(frames: DataFrame, by: str) -> DataFrame:
+    """What an episode's annotations are written as: total_subtasks of its first frame, and in order of frame_id current_subtask, current_subtask_index, remaining_subtasks (JSON text) and
+    moving_instruction. frames: by, frame_id, total_subtasks, current_subtask, current_subtask_index, remaining_subtasks, moving_instruction. An episode must fit a row, as it does in its file."""
+    names = ("current_subtask", "current_subtask_index", "remaining_subtasks", "moving_instruction")
+    some = frames.withColumn("current_subtask_index", F.col("current_subtask_index").cast("int")).withColumn("remaining_subtasks", json_texts(F.col("remaining_subtasks")))
+    rows = some.groupBy(by).agg(F.min_by("total_subtasks", "frame_id").alias("total_subtasks"), F.array_sort(F.collect_list(F.struct("frame_id", *names))).alias("_x"))
+    return rows.select(by, "total_subtasks", *(F.transform("_x", _field(c)).alias(c) for c in names))

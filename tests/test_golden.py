@@ -342,3 +342,31 @@ def test_clips_and_numbers(spark):
     got = [(r.key, r.id) for r in X.numbered_by(df, "key", "id", parts=13).orderBy("pos").collect()]
     assert got == sorted(got) and X.numbered_by(df, "key", "id", parts=13).agg(F.max("pos")).first()[0] == 5000
     assert X.numbered_by(df.limit(0), "key").count() == 0
+
+
+def test_samples_of_odd_episodes(spark):
+    """Episodes that never move, lack a sidecar, have an empty one or no instruction go; null labels, one step and a step before every subtask are defined."""
+    from kinetrail.operators import episodes as E
+
+    rows = [(ep, t, [0.0 if ep == 1 or t < first else 1.0], [float(t)], None, "Lift") for ep, n, first in ((1, 4, 9), (2, 4, 2), (3, 4, 2), (4, 4, 2), (5, 2, 1)) for t in range(n)]
+    df = spark.createDataFrame(rows, "ep long, t long, state array<double>, action array<double>, left string, right string")
+    plan = {"9.0": (["a"], "late"), "10.5": (None, None)}
+    side = spark.createDataFrame([(1, 1.0, plan, ["go"]), (2, 1.0, plan, ["go"]), (4, 1.0, {}, ["go"]), (5, None, plan, ["go", "run"])], "ep long, fps double, reasoning map<string, struct<plan: array<string>, subtask: string>>, seen array<string>")
+    got = {r.ep: r for r in E.simulated_samples(df, side, "ep", 1, 3, 3, F.lit(0), F.lit(1)).collect()}
+    assert set(got) == {2, 5}
+    a, b = got[2], got[5]
+    assert (a.step, a.instruction, a.goal, a.frames, a.mask, a.actions, a.state) == (1, "go", 3, [0, 0, 1], [False, False, True], [[1.0], [2.0], [3.0]], [0.0])
+    assert "late" in a.thought and "[LEFT]: \n[RIGHT]: Lift\n" in a.thought
+    assert (b.step, b.instruction, b.frames, b.actions, b.state_mean, b.n_steps) == (0, "run", [0, 0, 0], [[0.0], [1.0], [1.0]], [0.5], 2)
+    r = {r.ep: r for r in E.robot_samples(df, "fold", "ep", 1, 3, F.lit(1), chunk=3).collect()}
+    assert set(r) == {2, 3, 4, 5} and r[3].thought == "[LEFT]: none; [RIGHT]: lift" and (r[3].step, r[3].goal, r[3].mask) == (2, 3, [False, True, True])
+
+
+def test_nested_errors(spark):
+    from kinetrail.functions import nested as N
+
+    df = spark.sql("select named_struct('a', true, 'b', array(1.5D, 2D), 'c', array('x')) as s")
+    with pytest.raises(ValueError, match="boolean"):
+        N.mapped(df, "s", N.padding)
+    assert df.select(N.mapped(df, "s.b", N.padding).alias("x")).first().x == [0.0, 0.0]
+    assert df.select(N.merged(df, "s", "s").alias("x")).first().x.c == ["x"]

@@ -82,3 +82,22 @@ def test_poses_and_statistics_as_json(spark, tmp_path):
     write_statistics(statistics(df, "action", ["name"]), "name", str(tmp_path / "s"))
     r = spark.read.json(str(tmp_path / "s")).first()
     assert r.name == "d" and r.action["mean"] == [2.0, 2.0] and r.action["max"] == [3.0, 2.0]
+
+
+def test_episode_rows(spark, tmp_path):
+    """Rows of each file, 0 for one that cannot be read."""
+    from kinetrail.sources.readers import episode_rows
+
+    for name, n in (("a", 5), ("b", 2)):
+        spark.range(n).toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    (tmp_path / "c.parquet").write_bytes(b"no parquet")
+    got = {r.path.rsplit("/", 1)[1]: r.rows for r in episode_rows(spark, str(tmp_path), "id long").collect()}
+    assert got == {"a.parquet": 5, "b.parquet": 2, "c.parquet": 0}
+
+
+def test_frames_to_write(spark):
+    from kinetrail.sources.writers import extracted
+
+    df = spark.createDataFrame([(1, 4), (2, 2), (3, 0)], "v long, n long")
+    of = lambda **x: sorted((r.v, r.frame) for r in extracted(df, "v", "n", **x).collect())
+    assert of() == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1)] and of(start=2, most=1) == [(1, 2)]

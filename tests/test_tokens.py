@@ -39,3 +39,17 @@ def test_lists_and_clients(spark, tmp_path):
     said = R.annotated(labels, lambda b: b.assign(answer=b["label"].str.upper())[["id", "answer"]], "id string, answer string")
     assert {r.answer for r in said.collect()} == {"A", "B"}
     assert spark.range(1).select(F.length(R.statistics_key("a", "b"))).first()[0] == 64
+
+
+def test_known_special_tokens():
+    ids, roles = T.with_special(["<a>", "<b>", "<c>"], 100, {"start": "<a>", "end": "<c>"}, known={"<b>": 7, "<a>": 9})
+    assert ids == {"<c>": 100} and roles == {"start": 9, "end": 100}
+
+
+def test_digitwise_split(spark):
+    """Numbers digit by digit, line ends apart, letters composed first; ids lead back to the text."""
+    df = spark.createDataFrame([("it'S 1234\n\n  x",), ("cafe\u0301",), (None,)], "text string")
+    out = T.decode(T.encode(df, "text", VOCABULARY, pattern=T.DIGITWISE, composed=True), "ids", VOCABULARY, "back").collect()
+    assert [r.back for r in out] == ["it'S 1234\n\n  x", "caf\u00e9", None]
+    plain = T.encode(df, "text", VOCABULARY).collect()
+    assert len(out[0].ids) >= len(plain[0].ids)

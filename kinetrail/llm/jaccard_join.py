@@ -479,14 +479,14 @@ class JaccardJoin:
     """Similarity self-join of documents on word shingles.
 
     similar(docs) returns a row per document: doc_id, n_shingles, component_id, n_links (verified links of its set to other
-    sets that the join followed). Null text is empty; an empty set links with nothing and is its own component. Words compare with A-Z
+    sets that the join followed; with every_link all of them, at a cost that grows with the number of links). Null text is empty; an empty set links with nothing and is its own component. Words compare with A-Z
     lower-cased. Repeated rows and equal texts share a node; rows that share an id but not the text are linked each by its own text. A row whose doc_id is null keeps its row; it takes
     the component of its set. Extra columns are ignored, so clashing names do no harm. Sets are compared by 64-bit shingle hashes. An empty table gives an empty result.
     heavy, block, pairs: sizes from which on a list, an open list and a centre's pairs are cut; they change no result.
     """
 
-    def __init__(self, words: int = 5, num: int = 75, den: int = 100, rounds: int = 1, heavy: int = HEAVY, counted: int = COUNTED, block: int = BLOCK, pairs: int = PAIRS):
-        self.words, self.num, self.den, self.rounds = words, num, den, rounds
+    def __init__(self, words: int = 5, num: int = 75, den: int = 100, rounds: int = 1, heavy: int = HEAVY, counted: int = COUNTED, block: int = BLOCK, pairs: int = PAIRS, every_link: bool = False):
+        self.words, self.num, self.den, self.rounds, self.every_link = words, num, den, rounds, every_link
         self.heavy, self.counted, self.block, self.pairs = heavy, counted, block, pairs
 
     def similar(self, docs: DataFrame) -> DataFrame:
@@ -516,8 +516,8 @@ class JaccardJoin:
         links = written(self._links(docs, tried, nodes), "links")
         comp = components(links)
         packed = found.where("bucket is not null").select("bucket", "place", "nodes", "sizes", "roles").dropDuplicates(["bucket", "place"])
-        rest = written(packed.mapInArrow(_members, "bucket long, node long, n int, role int"), "lists")
-        rest = rest.join(rest.groupBy("node").agg(F.count("*").alias("degree")), "node")
+        lists = written(packed.mapInArrow(_members, "bucket long, node long, n int, role int"), "lists")
+        rest = lists.join(lists.groupBy("node").agg(F.count("*").alias("degree")), "node")
         for step in range(self.rounds + 1):
             rest = self._open(rest, comp)
             if rest.isEmpty():
@@ -531,6 +531,11 @@ class JaccardJoin:
             links = links.unionByName(new)
             comp = components(links)
             tried = tried.unionByName(more)
+        if self.every_link and not lists.isEmpty():
+            # each member its own component: the pairs of a list, inside components too
+            more = self._exhaustive(lists.withColumn("comp", F.col("node")), nodes, parts).distinct()
+            more = written(more.join(tried, ["a", "b"], "left_anti"), "candidates")
+            links = links.unionByName(written(self._links(docs, more, nodes), "links"))
         of = comp.withColumnRenamed("id", "node").join(nodes.select("node", "rep"), "node")
         least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
         degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))

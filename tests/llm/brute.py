@@ -15,6 +15,20 @@ def shingle_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
 
 
+def jaccard_degrees(docs, num=75, den=100):
+    """By document: how many other sets its set links with; equal sets are one."""
+    sets = {d: shingle_set(t) for d, t in docs}
+    kinds = list(set(sets.values()) - {frozenset()})
+    n = dict.fromkeys(kinds, 0)
+    for i, a in enumerate(kinds):
+        for b in kinds[i + 1 :]:
+            inter = len(a & b)
+            if den * inter >= num * (len(a) + len(b) - inter):
+                n[a] += 1
+                n[b] += 1
+    return {d: n.get(x, 0) for d, x in sets.items()}
+
+
 def jaccard_components(docs, num=75, den=100):
     sets = {d: shingle_set(t) for d, t in docs}
     ids, parent = sorted(sets), {d: d for d in sets}

@@ -1,6 +1,6 @@
 import random
 
-from brute import jaccard_components
+from brute import jaccard_components, jaccard_degrees
 
 from kinetrail.llm.jaccard_join import JaccardJoin
 
@@ -76,3 +76,18 @@ def test_ids_shared_by_different_texts(spark):
     assert got == [(1, 1), (2, 1), (2, 2), (3, 2), (3, 2), (4, 4), (4, 4), (5, 2), (6, 1), (6, 4)]
     kept = JaccardJoin().first_of_each(df)
     assert kept.columns == df.columns and sorted((r.doc_id, r.text[0]) for r in kept.collect()) == [(1, "a"), (2, "b"), (4, "c")]
+
+
+def test_every_link(spark):
+    """Exact numbers of links, inside components too, with lists and centres in parts or whole; components stay."""
+    rng = random.Random(5)
+    texts = [t for size in (12, 30, 90) for t in edited(rng, 50, size)]
+    texts += texts[:9] + [None, ""] + [" ".join(f"d{i % 90 + (i > 80)}x" for i in range(k, k + 100)) for k in range(6)]
+    texts += [" ".join([f"z{j}" for j in range(60)] + [f"t{i}"]) for i in range(60)]
+    docs = list(enumerate(texts))
+    want, degree = jaccard_components(docs), jaccard_degrees(docs)
+    assert max(degree.values()) == 59
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    for join in (JaccardJoin(every_link=True), JaccardJoin(heavy=5, counted=1, block=7, pairs=3, every_link=True)):
+        got = join.similar(df)
+        assert rows(got) == want and {r.doc_id: r.n_links for r in got.collect()} == degree

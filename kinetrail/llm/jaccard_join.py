@@ -40,6 +40,8 @@ SMALL = 24
 BROADCAST_ROWS = 500_000
 #: Members from which on a signature's list is dealt over parts, the share of the sets (one in so many) that is counted for it, and how many such lists are known at most.
 HEAVY, COUNTED, KNOWN = 200_000, 64, 100_000
+#: Sets in a block of a component whose links are all counted.
+UNIT = 200
 #: Members in a row of a list, in a block of an open list, and pairs of a centre in one part.
 ROW, BLOCK, PAIRS = 50_000, 4_000, 4_000
 _MASK = (1 << 64) - 1
@@ -417,6 +419,29 @@ def _verify(num: int, den: int):
     return run
 
 
+def _verify_blocks(num: int, den: int):
+    """Rows in order of unit, the unit's sets first, then its pairs, to the pairs that pass."""
+
+    def run(batches):
+        now, sets = None, {}
+        for b in batches:
+            unit = list(zip(*(b.column(c).to_pylist() for c in ("component", "lo", "hi")), strict=True))
+            one, two, blobs, ok = b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("x"), np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                if unit[i] != now:
+                    now, sets = unit[i], {}
+                if two[i] is None:
+                    sets[one[i]] = np.frombuffer(blobs[i].as_buffer(), U64).copy()
+                    continue
+                x, y = sorted((sets[one[i]], sets[two[i]]), key=len)
+                at = np.searchsorted(y, x)
+                inter = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                ok[i] = den * inter >= num * (len(x) + len(y) - inter)
+            yield b.filter(pa.array(ok)).select(["a", "b"])
+
+    return run
+
+
 def _elements(words: int):
     def run(batches):
         for b in batches:
@@ -482,12 +507,12 @@ class JaccardJoin:
     sets that the join followed; with every_link all of them, at a cost that grows with the number of links). Null text is empty; an empty set links with nothing and is its own component. Words compare with A-Z
     lower-cased. Repeated rows and equal texts share a node; rows that share an id but not the text are linked each by its own text. A row whose doc_id is null keeps its row; it takes
     the component of its set. Extra columns are ignored, so clashing names do no harm. Sets are compared by 64-bit shingle hashes. An empty table gives an empty result.
-    heavy, block, pairs: sizes from which on a list, an open list and a centre's pairs are cut; they change no result.
+    heavy, block, pairs, unit: sizes from which on a list, an open list, a centre's pairs and a component are cut; they change no result.
     """
 
-    def __init__(self, words: int = 5, num: int = 75, den: int = 100, rounds: int = 1, heavy: int = HEAVY, counted: int = COUNTED, block: int = BLOCK, pairs: int = PAIRS, every_link: bool = False):
+    def __init__(self, words: int = 5, num: int = 75, den: int = 100, rounds: int = 1, heavy: int = HEAVY, counted: int = COUNTED, block: int = BLOCK, pairs: int = PAIRS, every_link: bool = False, unit: int = UNIT):
         self.words, self.num, self.den, self.rounds, self.every_link = words, num, den, rounds, every_link
-        self.heavy, self.counted, self.block, self.pairs = heavy, counted, block, pairs
+        self.heavy, self.counted, self.block, self.pairs, self.unit = heavy, counted, block, pairs, unit
 
     def similar(self, docs: DataFrame) -> DataFrame:
         return self._found(docs).select("doc_id", "n_shingles", "component_id", "n_links")
@@ -531,11 +556,12 @@ class JaccardJoin:
             links = links.unionByName(new)
             comp = components(links)
             tried = tried.unionByName(more)
-        if self.every_link and not lists.isEmpty():
-            # each member its own component: the pairs of a list, inside components too
-            more = self._exhaustive(lists.withColumn("comp", F.col("node")), nodes, parts).distinct()
+        if self.every_link and not links.isEmpty():
+            # only pairs inside a component can be links by now; a list's members of one component are a list of their own, where each counts as its own component
+            inside = lists.join(comp.withColumnRenamed("id", "node"), "node").withColumn("bucket", F.xxhash64("bucket", "component")).withColumn("comp", F.col("node"))
+            more = self._exhaustive(inside, nodes, parts).distinct()
             more = written(more.join(tried, ["a", "b"], "left_anti"), "candidates")
-            links = links.unionByName(written(self._links(docs, more, nodes), "links"))
+            links = links.unionByName(written(self._links_inside(docs, more, nodes, comp), "links"))
         of = comp.withColumnRenamed("id", "node").join(nodes.select("node", "rep"), "node")
         least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
         degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -597,6 +623,21 @@ class JaccardJoin:
         rest = rest.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n", "node")
         return rest.select("bucket", "lo", "hi", "node", "comp", "n", "role", "block", "sketch").mapInArrow(_across(self.num, self.den), "a long, b long")
 
+    def _links_inside(self, docs: DataFrame, pairs: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
+        """The pairs, both of one component, whose sets pass, as nodes a > b. A component is cut into blocks of about ``unit`` sets; a set travels once to each two blocks that have a pair, not once to each pair."""
+        size = comp.groupBy("component").agg(F.ceil(F.count("*") / self.unit).cast("int").alias("blocks"))
+        of = written(comp.join(size, "component").select(F.col("id").alias("node"), "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "blocks")
+        ends = pairs.join(of.select(F.col("node").alias("a"), "component", F.col("block").alias("p")), "a").join(of.select(F.col("node").alias("b"), F.col("block").alias("q")), "b")
+        pair = written(ends.select("component", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "a", "b", F.lit(None).cast("binary").alias("x")), "units")
+        ends = pair.select("component", "lo", "hi", F.explode(F.array("a", "b")).alias("node")).distinct()
+        need = written(ends, "need")
+        ids = nodes.join(need.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+        sets = docs.join(self._bounded(ids), "doc_id", "left_semi").mapInArrow(_elements(self.words), "node long, x binary").join(need.select("node").distinct(), "node", "left_semi")
+        sets = need.join(written(sets.dropDuplicates(["node"]), "sets"), "node").select("component", "lo", "hi", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "x")
+        rows = sets.unionByName(pair).repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "b")  # null comes first
+        good = rows.mapInArrow(_verify_blocks(self.num, self.den), "a long, b long")
+        return good.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
     def _links(self, docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs whose sets pass the threshold, as nodes a > b."""
         left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))

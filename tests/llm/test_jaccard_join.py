@@ -88,6 +88,6 @@ def test_every_link(spark):
     want, degree = jaccard_components(docs), jaccard_degrees(docs)
     assert max(degree.values()) == 59
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    for join in (JaccardJoin(every_link=True), JaccardJoin(heavy=5, counted=1, block=7, pairs=3, every_link=True)):
+    for join in (JaccardJoin(every_link=True), JaccardJoin(heavy=5, counted=1, block=7, pairs=3, every_link=True, unit=7)):
         got = join.similar(df)
         assert rows(got) == want and {r.doc_id: r.n_links for r in got.collect()} == degree

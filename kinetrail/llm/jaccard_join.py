@@ -40,8 +40,8 @@ SMALL = 24
 BROADCAST_ROWS = 500_000
 #: Members from which on a signature's list is dealt over parts, the share of the sets (one in so many) that is counted for it, and how many such lists are known at most.
 HEAVY, COUNTED, KNOWN = 200_000, 64, 100_000
-#: Sets in a block of a component whose links are all counted.
-UNIT = 200
+#: Sets and elements in a block of a component whose links are counted: two blocks are what a task holds.
+UNIT, UNIT_ELEMENTS = 1_000, 1_000_000
 #: Members in a row of a list, in a block of an open list, and pairs of a centre in one part.
 ROW, BLOCK, PAIRS = 50_000, 4_000, 4_000
 _MASK = (1 << 64) - 1
@@ -419,25 +419,45 @@ def _verify(num: int, den: int):
     return run
 
 
-def _verify_blocks(num: int, den: int):
-    """Rows in order of unit, the unit's sets first, then its pairs, to the pairs that pass."""
+def _degrees(num: int, den: int):
+    """Rows in order of unit, block and size: the sets of one block of a component or of two. To each set's number of links within the unit (of one block) or to
+    the other block (of two). A probe's elements are marked among the unit's; one gather over the sets of fitting size gives all its intersections."""
+
+    def count(cross, rows):
+        block, node, blobs = zip(*rows, strict=True)
+        node, sizes = np.array(node), np.array([len(x) // 8 for x in blobs])
+        vocabulary, e = np.unique(np.frombuffer(b"".join(blobs), U64), return_inverse=True)
+        edge, mark, degree = np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(vocabulary), bool), np.zeros(len(rows), np.int64)
+        cut = block.count(block[0])
+        other = sizes[cut:] if cross else sizes
+        low = (cut if cross else 0) + np.searchsorted(other, -(-sizes[:cut] * num // den))
+        high = (cut if cross else 0) + np.searchsorted(other, sizes[:cut] * den // num, "right")
+        for i in range(cut):
+            j, k = int(low[i]) if cross else i + 1, int(high[i])
+            if j >= k:
+                continue
+            mine = e[edge[i] : edge[i + 1]]
+            mark[mine] = True
+            inter = np.add.reduceat(mark.take(e[edge[j] : edge[k]]), edge[j:k] - edge[j], dtype=np.int64)
+            mark[mine] = False
+            ok = den * inter >= num * (sizes[i] + sizes[j:k] - inter)
+            degree[i] += ok.sum()
+            degree[j:k] += ok
+        some = degree > 0
+        return pa.RecordBatch.from_arrays([pa.array(node[some], pa.int64()), pa.array(degree[some], pa.int64())], ["node", "n_links"])
 
     def run(batches):
-        now, sets = None, {}
+        now, rows = None, []
         for b in batches:
-            unit = list(zip(*(b.column(c).to_pylist() for c in ("component", "lo", "hi")), strict=True))
-            one, two, blobs, ok = b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("x"), np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                if unit[i] != now:
-                    now, sets = unit[i], {}
-                if two[i] is None:
-                    sets[one[i]] = np.frombuffer(blobs[i].as_buffer(), U64).copy()
-                    continue
-                x, y = sorted((sets[one[i]], sets[two[i]]), key=len)
-                at = np.searchsorted(y, x)
-                inter = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                ok[i] = den * inter >= num * (len(x) + len(y) - inter)
-            yield b.filter(pa.array(ok)).select(["a", "b"])
+            blobs = b.column("x").to_pylist()
+            for i, (component, lo, hi, block, node) in enumerate(zip(*(b.column(c).to_pylist() for c in ("component", "lo", "hi", "block", "node")), strict=True)):
+                if (component, lo, hi) != now and rows:
+                    yield count(now[1] != now[2], rows)
+                    rows = []
+                now = (component, lo, hi)
+                rows.append((block, node, blobs[i]))
+        if rows:
+            yield count(now[1] != now[2], rows)
 
     return run
 
@@ -503,19 +523,19 @@ def _across(num: int, den: int):
 class JaccardJoin:
     """Similarity self-join of documents on word shingles.
 
-    similar(docs) returns a row per document: doc_id, n_shingles, component_id, n_links (verified links of its set to other
-    sets that the join followed; with every_link all of them, at a cost that grows with the number of links). Null text is empty; an empty set links with nothing and is its own component. Words compare with A-Z
+    similar(docs) returns a row per document: doc_id, n_shingles, component_id, n_links (links of its set to other sets, all of them; with every_link false only
+    those that the join followed, which spares a component's sets the comparison with each other). Null text is empty; an empty set links with nothing and is its own component. Words compare with A-Z
     lower-cased. Repeated rows and equal texts share a node; rows that share an id but not the text are linked each by its own text. A row whose doc_id is null keeps its row; it takes
     the component of its set. Extra columns are ignored, so clashing names do no harm. Sets are compared by 64-bit shingle hashes. An empty table gives an empty result.
     heavy, block, pairs, unit: sizes from which on a list, an open list, a centre's pairs and a component are cut; they change no result.
     """
 
-    def __init__(self, words: int = 5, num: int = 75, den: int = 100, rounds: int = 1, heavy: int = HEAVY, counted: int = COUNTED, block: int = BLOCK, pairs: int = PAIRS, every_link: bool = False, unit: int = UNIT):
+    def __init__(self, words: int = 5, num: int = 75, den: int = 100, rounds: int = 1, heavy: int = HEAVY, counted: int = COUNTED, block: int = BLOCK, pairs: int = PAIRS, every_link: bool = True, unit: int = UNIT):
         self.words, self.num, self.den, self.rounds, self.every_link = words, num, den, rounds, every_link
         self.heavy, self.counted, self.block, self.pairs, self.unit = heavy, counted, block, pairs, unit
 
     def similar(self, docs: DataFrame) -> DataFrame:
-        return self._found(docs).select("doc_id", "n_shingles", "component_id", "n_links")
+        return self._found(docs, self.every_link).select("doc_id", "n_shingles", "component_id", "n_links")
 
     def _heavy(self, docs: DataFrame, sets: int) -> Heavy:
         """Signatures of at least heavy sets, by a count over a part of the texts. A list is never longer than there are sets."""
@@ -526,7 +546,7 @@ class JaccardJoin:
         found = counts.where(F.col("n") >= self.heavy).orderBy(F.desc("n"), "key").limit(KNOWN).collect()
         return Heavy([r.key for r in found], [-(-r.n // self.heavy) + 1 for r in found])
 
-    def _found(self, docs: DataFrame) -> DataFrame:
+    def _found(self, docs: DataFrame, every_link: bool) -> DataFrame:
         spark = docs.sparkSession
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         profile = written(docs.mapInArrow(_profile(self.words), "doc_id long, n_shingles long, node long, sketch binary"), "profile")
@@ -556,15 +576,9 @@ class JaccardJoin:
             links = links.unionByName(new)
             comp = components(links)
             tried = tried.unionByName(more)
-        if self.every_link and not links.isEmpty():
-            # only pairs inside a component can be links by now; a list's members of one component are a list of their own, where each counts as its own component
-            inside = lists.join(comp.withColumnRenamed("id", "node"), "node").withColumn("bucket", F.xxhash64("bucket", "component")).withColumn("comp", F.col("node"))
-            more = self._exhaustive(inside, nodes, parts).distinct()
-            more = written(more.join(tried, ["a", "b"], "left_anti"), "candidates")
-            links = links.unionByName(written(self._links_inside(docs, more, nodes, comp), "links"))
         of = comp.withColumnRenamed("id", "node").join(nodes.select("node", "rep"), "node")
         least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
-        degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+        degree = self._degree(docs, links, nodes, comp) if every_link else self._ends(links)
         linked = of.join(least, "component").join(degree, "node").select("node", "component_id", "n_links")
         alone = nodes.join(linked, "node", "left_anti").select("node", F.col("rep").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
         full = slim.where("n_shingles > 0").join(linked.unionByName(alone), "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
@@ -574,7 +588,7 @@ class JaccardJoin:
     def first_of_each(self, docs: DataFrame) -> DataFrame:
         """The rows of docs whose id is the smallest of its component, one for each id; rows without an id stay. Of rows that share an id but not the text,
         those whose text belongs to an earlier document go first."""
-        found = written(self._found(docs).select("doc_id", "node", "component_id"), "components")
+        found = written(self._found(docs, False).select("doc_id", "node", "component_id"), "components")
         # only ids of components of several documents go; a slim anti join spares those that keep to themselves
         ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
         ids = written(ids.where("lo < doc_id or n > 1"), "ids")
@@ -623,20 +637,41 @@ class JaccardJoin:
         rest = rest.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n", "node")
         return rest.select("bucket", "lo", "hi", "node", "comp", "n", "role", "block", "sketch").mapInArrow(_across(self.num, self.den), "a long, b long")
 
-    def _links_inside(self, docs: DataFrame, pairs: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
-        """The pairs, both of one component, whose sets pass, as nodes a > b. A component is cut into blocks of about ``unit`` sets; a set travels once to each two blocks that have a pair, not once to each pair."""
-        size = comp.groupBy("component").agg(F.ceil(F.count("*") / self.unit).cast("int").alias("blocks"))
-        of = written(comp.join(size, "component").select(F.col("id").alias("node"), "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "blocks")
-        ends = pairs.join(of.select(F.col("node").alias("a"), "component", F.col("block").alias("p")), "a").join(of.select(F.col("node").alias("b"), F.col("block").alias("q")), "b")
-        pair = written(ends.select("component", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "a", "b", F.lit(None).cast("binary").alias("x")), "units")
-        ends = pair.select("component", "lo", "hi", F.explode(F.array("a", "b")).alias("node")).distinct()
-        need = written(ends, "need")
-        ids = nodes.join(need.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        sets = docs.join(self._bounded(ids), "doc_id", "left_semi").mapInArrow(_elements(self.words), "node long, x binary").join(need.select("node").distinct(), "node", "left_semi")
-        sets = need.join(written(sets.dropDuplicates(["node"]), "sets"), "node").select("component", "lo", "hi", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "x")
-        rows = sets.unionByName(pair).repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "b")  # null comes first
-        good = rows.mapInArrow(_verify_blocks(self.num, self.den), "a long, b long")
-        return good.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    @staticmethod
+    def _ends(links: DataFrame) -> DataFrame:
+        return links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+
+    def _degree(self, docs: DataFrame, links: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
+        """The number of links of each linked set. Components are complete, so all partners of a set are in its own. A component whose pairs are all known links is
+        counted from them. The others are cut into blocks by band of size (partners are in the same band or the next) and hash; a set travels once to each
+        two blocks, and only numbers come back: no pair becomes a row."""
+        of = comp.withColumnRenamed("id", "node")
+        known = self._ends(links).join(of, "node")
+        whole = known.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n_links").alias("ends"))
+        rest = written(whole.where("ends < sets * (sets - 1)").select("component"), "incomplete")
+        done = known.join(rest, "component", "left_anti").select("node", "n_links")
+        if rest.isEmpty():
+            return done
+        sized = of.join(rest, "component").join(nodes.select("node", "rep", "n"), "node")
+        fill = F.ceil(F.greatest(F.count("*") / self.unit, F.sum("n") / UNIT_ELEMENTS)).cast("int").alias("fill")
+        # wider than the ratio of two sizes that can link by more than a logarithm's error
+        width = math.log(self.den / self.num) * 1.0001 if self.num < self.den else 1.0
+        small = sized.groupBy("component").agg(fill)
+        banded = sized.join(small, "component").withColumn("band", F.when(F.col("fill") > 1, F.floor(F.log("n") / width).cast("int")).otherwise(0)).drop("fill")
+        cut = written(banded.groupBy("component", "band").agg(fill), "blocks")
+        place = banded.join(cut, ["component", "band"]).select("component", "node", "rep", "n", "band", F.pmod(F.xxhash64("node"), "fill").cast("int").alias("cell"), "fill")
+        near = cut.select("component", F.col("band").alias("band2"), F.col("fill").alias("fill2"))
+        # a set's band against itself, the one below and the one above, as an equi join on the explored band
+        reach = place.withColumn("band2", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).join(near, ["component", "band2"])
+        reach = reach.withColumn("cell2", F.explode(F.sequence(F.lit(0), F.col("fill2") - 1)))
+        mine, their = (F.shiftleft(F.col(b).cast("long"), 32) + F.col(c) for b, c in (("band", "cell"), ("band2", "cell2")))
+        need = written(reach.select("component", F.least(mine, their).alias("lo"), F.greatest(mine, their).alias("hi"), mine.alias("block"), "n", "node", "rep"), "need")
+        ids = self._bounded(need.select(F.col("rep").alias("doc_id")).distinct())
+        sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_elements(self.words), "node long, x binary").join(need.select("node").distinct(), "node", "left_semi")
+        flat = need.drop("rep").join(written(sets.dropDuplicates(["node"]), "sets"), "node")
+        flat = flat.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "block", "n", "node")
+        counted = flat.mapInArrow(_degrees(self.num, self.den), "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+        return done.unionByName(counted)
 
     def _links(self, docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs whose sets pass the threshold, as nodes a > b."""

@@ -91,3 +91,24 @@ def test_every_link(spark):
     for join in (JaccardJoin(every_link=True), JaccardJoin(heavy=5, counted=1, block=7, pairs=3, every_link=True, unit=7)):
         got = join.similar(df)
         assert rows(got) == want and {r.doc_id: r.n_links for r in got.collect()} == degree
+
+
+def test_links_of_a_component_of_many_sizes(spark):
+    """Nested texts make one component over many bands of size; blocks of any size give the same numbers."""
+    words, texts, n = [f"w{i}" for i in range(2000)], [], 12
+    while n < 1500:
+        texts += [" ".join(words[:n]), " ".join(words[: n - 1] + [f"x{n}"]), " ".join([f"y{n}"] + words[1:n])]
+        n = n + max(1, n // 9)
+    docs = list(enumerate(texts))
+    want, degree = jaccard_components(docs), jaccard_degrees(docs)
+    assert {c for _, c in want.values()} == {0} and max(degree.values()) > 8
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for unit in (1, 4, 1000):
+        got = JaccardJoin(unit=unit).similar(df)
+        assert rows(got) == want and {r.doc_id: r.n_links for r in got.collect()} == degree
+
+
+def test_first_of_each_counts_no_links(spark, monkeypatch):
+    monkeypatch.setattr(JaccardJoin, "_degree", None)
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in JaccardJoin().first_of_each(df).collect()) == [1, 3]

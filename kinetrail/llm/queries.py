@@ -96,15 +96,15 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OP7_SQL = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
-), g AS (
+), g AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w
-), s AS (SELECT doc_id, len(g) AS n, md5(array_to_string(list_sort(g), chr(31))) AS k, unnest(g) AS h FROM g),
-links AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, a.k AS kx, b.k AS ky FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n, a.k, b.k HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
-), sym AS (SELECT x, y, kx, ky FROM links UNION ALL SELECT y, x, ky, kx FROM links),
-degree AS (SELECT x AS id, count(DISTINCT ky) AS d FROM sym WHERE kx <> ky GROUP BY x),
+), s AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM g), k AS (SELECT doc_id, md5(array_to_string(list_sort(g), chr(31))) AS k FROM g),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), sym AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+degree AS (SELECT x AS id, count(DISTINCT b.k) AS d FROM sym JOIN k a ON a.doc_id = x JOIN k b ON b.doc_id = y WHERE a.k <> b.k GROUP BY x),
 reach(id, r) AS (SELECT DISTINCT x, x FROM sym UNION SELECT reach.id, sym.y FROM reach JOIN sym ON reach.r = sym.x),
 comp AS (SELECT id, min(r) AS c FROM reach GROUP BY id)
 SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, coalesce(c, g.doc_id) AS component_id, coalesce(d, 0) AS n_links

@@ -535,7 +535,10 @@ class JaccardJoin:
         self.heavy, self.counted, self.block, self.pairs, self.unit = heavy, counted, block, pairs, unit
 
     def similar(self, docs: DataFrame) -> DataFrame:
-        return self._found(docs, self.every_link).select("doc_id", "n_shingles", "component_id", "n_links")
+        slim, nodes, links, comp = self._joined(docs)
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        degree = self._degree(docs, links, nodes, comp) if self.every_link else self._ends(links)
+        return self._rows(slim, nodes, comp, degree).select("doc_id", "n_shingles", "component_id", "n_links")
 
     def _heavy(self, docs: DataFrame, sets: int) -> Heavy:
         """Signatures of at least heavy sets, by a count over a part of the texts. A list is never longer than there are sets."""
@@ -546,7 +549,8 @@ class JaccardJoin:
         found = counts.where(F.col("n") >= self.heavy).orderBy(F.desc("n"), "key").limit(KNOWN).collect()
         return Heavy([r.key for r in found], [-(-r.n // self.heavy) + 1 for r in found])
 
-    def _found(self, docs: DataFrame, every_link: bool) -> DataFrame:
+    def _joined(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Each row's id, size and node; the nodes; the links that the join followed; the components."""
         spark = docs.sparkSession
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         profile = written(docs.mapInArrow(_profile(self.words), "doc_id long, n_shingles long, node long, sketch binary"), "profile")
@@ -574,21 +578,29 @@ class JaccardJoin:
             if new.isEmpty():
                 continue
             links = links.unionByName(new)
-            comp = components(links)
+            comp = components(new, comp)
             tried = tried.unionByName(more)
+        return slim, nodes, links, comp
+
+    @staticmethod
+    def _rows(slim: DataFrame, nodes: DataFrame, comp: DataFrame, degree: DataFrame | None = None) -> DataFrame:
+        """doc_id, n_shingles, node and component_id of each row; with degree (node, n_links) also n_links."""
         of = comp.withColumnRenamed("id", "node").join(nodes.select("node", "rep"), "node")
         least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
-        degree = self._degree(docs, links, nodes, comp) if every_link else self._ends(links)
-        linked = of.join(least, "component").join(degree, "node").select("node", "component_id", "n_links")
-        alone = nodes.join(linked, "node", "left_anti").select("node", F.col("rep").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-        full = slim.where("n_shingles > 0").join(linked.unionByName(alone), "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-        empty = slim.where("n_shingles = 0").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        linked = of.join(least, "component").select("node", "component_id")
+        counts = []
+        if degree is not None:
+            linked, counts = linked.join(degree, "node"), [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
+        linked = nodes.select("node", "rep").join(linked, "node", "left").withColumn("component_id", F.coalesce("component_id", "rep")).drop("rep")
+        full = slim.where("n_shingles > 0").join(linked, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"), *counts)
+        empty = slim.where("n_shingles = 0").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if counts else []))
         return full.unionByName(empty)
 
     def first_of_each(self, docs: DataFrame) -> DataFrame:
         """The rows of docs whose id is the smallest of its component, one for each id; rows without an id stay. Of rows that share an id but not the text,
         those whose text belongs to an earlier document go first."""
-        found = written(self._found(docs, False).select("doc_id", "node", "component_id"), "components")
+        slim, nodes, _, comp = self._joined(docs)
+        found = written(self._rows(slim, nodes, comp).select("doc_id", "node", "component_id"), "components")
         # only ids of components of several documents go; a slim anti join spares those that keep to themselves
         ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
         ids = written(ids.where("lo < doc_id or n > 1"), "ids")

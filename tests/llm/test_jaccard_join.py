@@ -2,7 +2,9 @@ import random
 
 from brute import jaccard_components, jaccard_degrees
 
+from kinetrail.llm import components as C
 from kinetrail.llm.jaccard_join import JaccardJoin
+from kinetrail.llm.store import written
 
 
 def rows(df):
@@ -112,3 +114,43 @@ def test_first_of_each_counts_no_links(spark, monkeypatch):
     monkeypatch.setattr(JaccardJoin, "_degree", None)
     df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h")], "doc_id long, text string")
     assert sorted(r.doc_id for r in JaccardJoin().first_of_each(df).collect()) == [1, 3]
+
+
+def test_components_end_with_the_stars(spark, monkeypatch):
+    """No round that only shows that nothing changes; later links add to known components. Against a plain search."""
+    rounds = []
+    monkeypatch.setattr(C, "written", lambda df, name: rounds.append(name) or written(df, name))
+
+    def found(pairs, known=None):
+        rounds.clear()
+        return C.components(spark.createDataFrame(pairs, "a long, b long"), known)
+
+    def plain(pairs):
+        of = {x: x for p in pairs for x in p}
+        for _ in range(len(of)):
+            for a, b in pairs:
+                of[a] = of[b] = min(of[a], of[b])
+        return of
+
+    def same(got, pairs):
+        out = got.collect()
+        assert dict(out) == plain(pairs) and len(out) == len(dict(out))
+
+    star = [(i, 3) for i in range(4, 40)] + [(51, 50), (52, 50)]
+    known = found(star)
+    same(known, star)
+    assert len(rounds) == 1
+    more = [(3, 1), (50, 10), (53, 51), (60, 59)]
+    same(found(more, known), star + more)
+    chain = [(i + 1, i) for i in range(100, 130)] + [(117, 100)]
+    same(found(chain), chain)
+    chance = random.Random(3)
+    some = [tuple(sorted(chance.sample(range(120), 2), reverse=True)) for _ in range(110)]
+    same(found(some[60:], found(some[:60])), some)
+    same(found([]), [])
+
+
+def test_first_of_each_needs_no_numbers_of_links(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b c d e f g h"), (2, "A b c d e f g h"), (3, "x y z"), (4, None)], "doc_id long, text string")
+    monkeypatch.setattr(JaccardJoin, "_ends", staticmethod(lambda *_: 1 / 0))
+    assert sorted(r.doc_id for r in JaccardJoin().first_of_each(df).collect()) == [1, 3, 4]
